@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linededup, quality, secrets
+from . import decontaminate, linededup, quality, secrets, substringdedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,9 +23,18 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.op6(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_line_dedup, op6_secret_scan)}
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substringdedup.op4(documents(spark, sf_dir))
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.op9(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_line_dedup, op4_substring_dedup, op6_secret_scan, op9_decontaminate)}
 
 ORACLES = {
     "op2_quality_rules": quality.oracle(),
     "op3_line_dedup": linededup.ORACLE,
+    "op9_decontaminate": decontaminate.ORACLE,
 }
