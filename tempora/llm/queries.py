@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, linededup, quality, secrets, substringdedup
+from . import decontaminate, linededup, pii, quality, secrets, substringdedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.op1(documents(spark, sf_dir))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op2(documents(spark, sf_dir))
 
@@ -31,7 +35,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op9(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_line_dedup, op4_substring_dedup, op6_secret_scan, op9_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_line_dedup, op4_substring_dedup, op6_secret_scan, op9_decontaminate)}
 
 ORACLES = {
     "op2_quality_rules": quality.oracle(),
