@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, linededup, pii, quality, secrets, substringdedup
+from . import decontaminate, jaccard, linededup, pii, quality, secrets, substringdedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.op3(documents(spark, sf_dir))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.op5(documents(spark, sf_dir))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.op6(documents(spark, sf_dir))
 
@@ -35,7 +39,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op9(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_line_dedup, op4_substring_dedup, op6_secret_scan, op9_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_line_dedup, op4_substring_dedup, op5_ngram_jaccard, op6_secret_scan, op9_decontaminate)}
 
 ORACLES = {
     "op2_quality_rules": quality.oracle(),
