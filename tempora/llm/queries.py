@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, linededup, pii, quality, secrets, substringdedup
+from . import decontaminate, jaccard, linededup, lm, pieces, pii, quality, secrets, substringdedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,11 +35,19 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substringdedup.op4(documents(spark, sf_dir))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.op7(documents(spark, sf_dir))
+
+
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.op10(documents(spark, sf_dir))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op9(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_line_dedup, op4_substring_dedup, op5_ngram_jaccard, op6_secret_scan, op9_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_line_dedup, op4_substring_dedup, op5_ngram_jaccard, op6_secret_scan, op7_sentencepiece, op9_decontaminate, op10_lm_score)}
 
 ORACLES = {
     "op2_quality_rules": quality.oracle(),
