@@ -1,0 +1,72 @@
+"""Corpus pipeline: quality rules, line dedup, near duplicates, decontamination, encoding.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written
+as Parquet and read again as the next stage's docs. All but the last return the
+columns of documents. Stages are defined for null columns, empty tables and
+further columns as their operators are; rows that share a doc_id stay or go
+together in the near-duplicate stage.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tempora.llm import decontaminate, jaccard, linededup, pieces, quality
+from tempora.llm.common import scratch
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rule and every rule of the table."""
+    return quality.quality(docs).where("kept").select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without their repeated lines; n_chars follows the text."""
+    out = linededup.line_dedup(docs).withColumn("text", F.col("kept_text"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents, the one with the smallest doc_id."""
+    found = jaccard.clusters(docs.select("doc_id", "text"))
+    others = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by the benchmark."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.decontaminate(docs, benchmark).where("NOT _contaminated").select(*docs.columns)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_pieces, pieces, score and round_trip of every document."""
+    out = pieces.encode(docs.select("doc_id", "text"))
+    return out.select("doc_id", F.col("_n_pieces").alias("n_pieces"), F.col("_ids").alias("pieces"), F.col("_score").alias("score"), F.col("_round_trip").alias("round_trip"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("near duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("encoding", encoding),
+]
+
+#: The last two stages' trees of matches and lattices are beyond SQL; tests hold run() against plain Python.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole documents table."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    root = f"{scratch(spark)}/pipeline-{uuid.uuid4().hex}"
+    for i, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{root}/{i}")
+        docs = spark.read.parquet(f"{root}/{i}")
+    return docs

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, linededup, lm, pieces, pii, quality, secrets, substringdedup
+from . import decontaminate, jaccard, linededup, lm, pieces, pii, quality, secrets, substringdedup, suffixdedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,14 +43,27 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.op10(documents(spark, sf_dir))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.op8(documents(spark, sf_dir))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op9(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_line_dedup, op4_substring_dedup, op5_ngram_jaccard, op6_secret_scan, op7_sentencepiece, op9_decontaminate, op10_lm_score)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_line_dedup, op4_substring_dedup, op5_ngram_jaccard, op6_secret_scan, op7_sentencepiece, op8_suffix_dedup, op9_decontaminate, op10_lm_score)}
 
 ORACLES = {
     "op2_quality_rules": quality.oracle(),
     "op3_line_dedup": linededup.ORACLE,
     "op9_decontaminate": decontaminate.ORACLE,
 }
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline
