@@ -19,7 +19,8 @@ Allocation by cost. Every segment counts 0, 1 or 2 towards H + 1:
 * Level 3. Sets too small for level 2 to reach H + 1 sign single shingles.
 
 A pair is found at the first level at which one of the two does not fall
-short, or at level 3. Groups of level 1 have at most COLD members and give
+short, or at level 3. At level 1 a pair must share as many signatures as H
+leaves equal, which drops most texts that share a passage only. Groups of level 1 have at most COLD members and give
 their pairs. Groups of levels 2 and 3 give links to leaders first: one member,
 then in each round twice as many, and only members not yet joined with the
 leader are compared, until each group is one component or all are leaders. So
@@ -261,7 +262,7 @@ def signatures(docs: DataFrame, k: int, buckets: int) -> DataFrame:
 
 
 def cold_and_hot(table: pa.Table) -> pa.Table:
-    """One bucket's pairs (a < b, n: 0) of groups up to COLD, and for members of larger ones (a, b: null, n: how many)."""
+    """One bucket's pairs (a < b, n: shared signatures) of groups up to COLD, and for members of larger ones (a, b: null, n: how many)."""
     bucket, blobs = table.column("bucket")[0].as_py(), table.column("blob").to_pylist()
     if bucket < 0:
         ids = np.concatenate([np.frombuffer(b, U64, len(b) // 16) for b in blobs])
@@ -275,15 +276,19 @@ def cold_and_hot(table: pa.Table) -> pa.Table:
             for j in range(i + 1, m):
                 left.append(ids[at + i])
                 right.append(ids[at + j])
-    pairs = np.unique(np.column_stack([np.concatenate(left), np.concatenate(right)]), axis=0) if left else np.zeros((0, 2), U64)
+    left, right = [np.concatenate(x) if x else np.zeros(0, U64) for x in (left, right)]
+    order = np.lexsort((right, left))
+    left, right = left[order], right[order]
+    cut = np.flatnonzero(np.concatenate([[True], (left[1:] != left[:-1]) | (right[1:] != right[:-1])])) if len(left) else np.zeros(0, np.int64)
+    shared = np.diff(np.append(cut, len(left)))
     hot, n = np.unique(ids[np.repeat(size > COLD, size)], return_counts=True)
-    a = np.concatenate([pairs[:, 0], hot])
-    b = pa.concat_arrays([pa.array(signed(np.ascontiguousarray(pairs[:, 1]))), pa.nulls(len(hot), pa.int64())])
-    return pa.table({"a": pa.array(signed(a)), "b": b, "n": pa.array(np.concatenate([np.zeros(len(pairs), np.int64), n.astype(np.int64)]))})
+    a = np.concatenate([left[cut], hot])
+    b = pa.concat_arrays([pa.array(signed(right[cut])), pa.nulls(len(hot), pa.int64())])
+    return pa.table({"a": pa.array(signed(a)), "b": b, "n": pa.array(np.concatenate([shared, n]).astype(np.int64))})
 
 
 def load_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """fp, size, elements (packed) for one document of each wanted class (doc_id, text_hash, fp)."""
+    """fp, size, elements (packed) for one document of each wanted class; rows repeated in docs repeat here, which does no harm."""
     keyed = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_rank"), F.xxhash64("text").alias("_hash"), "text")
     found = keyed.join(wanted.select(F.col("rank").alias("_rank"), F.col("text_hash").alias("_hash"), "fp"), ["_rank", "_hash"])
 
@@ -295,7 +300,7 @@ def load_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 blobs = [sets[first[d] : first[d + 1]].tobytes() for d in range(j - i)]
                 yield pa.RecordBatch.from_arrays([batch.column(names.index("fp"))[i:j], pa.array(np.diff(first)), pa.array(blobs, pa.binary())], names=["fp", "size", "elements"])
 
-    return found.mapInArrow(run, "fp long, size long, elements binary").dropDuplicates(["fp"])
+    return found.mapInArrow(run, "fp long, size long, elements binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
@@ -381,13 +386,14 @@ def similar(docs: DataFrame, k: int = SHINGLE, numerator: int = 3, denominator:
     classes = staged(classes.select("fp", "one.rank", "one.text_hash", "size", "spare", "copies", F.col("fp").bitwiseAND(F.lit((1 << 40) - 1)).alias("id")), "classes")
     found = staged(signatures(docs, k, buckets).groupBy("bucket").applyInArrow(cold_and_hot, "a long, b long, n long"), "candidates")
     hot = found.where("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("hot"))
-    short = classes.join(hot, "id", "left").where(F.coalesce("hot", F.lit(0)) > F.col("spare")).select("fp")
-    short = staged(short, "short")
-    ids = classes.select("id", "fp", F.col("size").alias("n"))
-    cold = found.where("b IS NOT NULL").select("a", "b").distinct()
-    one = ids.select(F.col("id").alias("a"), F.col("fp").alias("fa"), F.col("n").alias("na"))
-    two = ids.select(F.col("id").alias("b"), F.col("fp").alias("fb"), F.col("n").alias("nb"))
-    fits = denominator * F.least("na", "nb") >= numerator * F.greatest("na", "nb")
+    # A set's partners differ in at most H of its segments, so they share all its others that are not skipped.
+    ids = classes.join(hot, "id", "left").select("id", "fp", F.col("size").alias("n"), (F.col("spare") - F.coalesce("hot", F.lit(0)) + 1).alias("least"))
+    ids = staged(ids, "ids")
+    short = staged(ids.where("least <= 0").select("fp"), "short")
+    cold = found.where("b IS NOT NULL").groupBy("a", "b").agg(F.sum("n").alias("shared"))
+    one = ids.select(F.col("id").alias("a"), F.col("fp").alias("fa"), F.col("n").alias("na"), F.col("least").alias("la"))
+    two = ids.select(F.col("id").alias("b"), F.col("fp").alias("fb"), F.col("n").alias("nb"), F.col("least").alias("lb"))
+    fits = (denominator * F.least("na", "nb") >= numerator * F.greatest("na", "nb")) & (F.col("shared") >= F.greatest("la", "lb"))
     pairs = cold.join(one, "a").join(two, "b").where(fits).select(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b"))
     pairs = staged(pairs.where("a <> b").distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).union(short).distinct().join(classes, "fp")
@@ -398,8 +404,8 @@ def similar(docs: DataFrame, k: int = SHINGLE, numerator: int = 3, denominator:
         members = staged(leader_groups(sets.join(short, "fp", "left_semi"), buckets), "members")
         round_ = 0
         largest = members.agg(F.max("members")).first()[0] or 0
+        labels = components(links)
         while largest > 1:
-            labels = components(links)
             named = members.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
             open_ = named.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("gid")
             open_ = staged(open_, "open")
@@ -413,8 +419,11 @@ def similar(docs: DataFrame, k: int = SHINGLE, numerator: int = 3, denominator:
             met = named.join(open_, "gid", "left_semi").join(lead, "gid").where("label <> lead_label")
             fresh = met.select(F.least("fp", "lead").alias("a"), F.greatest("fp", "lead").alias("b")).distinct()
             fresh = staged(fresh.join(tested, ["a", "b"], "left_anti"), "pairs")
-            links = staged(links.union(verified(fresh, sets, numerator, denominator)), "links")
+            more = staged(verified(fresh, sets, numerator, denominator), "links")
             tested = tested.union(fresh)
+            if more.take(1):
+                links = links.union(more)
+                labels = components(links)
             if (1 << round_) >= largest:
                 break
             round_ += 1

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import NOT_SPACE, Words, signed, slices, text_buffer
 
-BLOCK = 10 << 20
+BLOCK = 12 << 20
 U64 = np.uint64
 START, END = U64(0xA5A5_0F0F_1234_5601), U64(0x5A5A_F0F0_4321_6503)
 
@@ -91,23 +91,30 @@ class Block:
         return zip(self.bucket[cut].tolist(), cut.tolist(), ends.tolist(), np.searchsorted(self.owner, cut).tolist(), np.searchsorted(self.owner, ends).tolist(), strict=True)
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Counts as 32-bit numbers, first all lowest bytes, then all second ones, and so on: small counts compress well."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def unplaned(blob: bytes, n: int, at: int = 0) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8, 4 * n, at).reshape(4, n).T).reshape(-1).view("<u4").astype(np.int64)
+
+
 def pack(b: Block) -> tuple[list[int], list[bytes]]:
     names, blobs = [], []
     for bucket, x, y, p, q in b.parts():
         head = np.array([y - x, q - p], np.uint32)
-        parts = (head, b.words[x:y], b.next[p:q], b.word_count[x:y].astype(np.uint32), (b.owner[p:q] - x).astype(np.uint32), b.pair_count[p:q].astype(np.uint32))
+        steps = np.diff(b.owner[p:q], prepend=x)
         names.append(bucket)
-        blobs.append(b"".join(a.tobytes() for a in parts))
+        blobs.append(b"".join((head.tobytes(), b.words[x:y].tobytes(), b.next[p:q].tobytes(), planes(b.word_count[x:y]), planes(steps), planes(b.pair_count[p:q]))))
     return names, blobs
 
 
 def unpack(blob: bytes):
-    n, m = np.frombuffer(blob, np.uint32, 2)
-    at, out = 8, []
-    for kind, size in ((U64, n), (U64, m), (np.uint32, n), (np.uint32, m), (np.uint32, m)):
-        out.append(np.frombuffer(blob, kind, int(size), at))
-        at += int(size) * np.dtype(kind).itemsize
-    return out
+    n, m = np.frombuffer(blob, np.uint32, 2).tolist()
+    at = 8 + 8 * (n + m)
+    words, follow = np.frombuffer(blob, U64, n, 8), np.frombuffer(blob, U64, m, 8 + 8 * n)
+    return words, follow, unplaned(blob, n, at), np.cumsum(unplaned(blob, m, at + 4 * n)), unplaned(blob, m, at + 4 * (n + m))
 
 
 def add_up(table: pa.Table) -> pa.Table:
@@ -130,7 +137,7 @@ def add_up(table: pa.Table) -> pa.Table:
     back, at = [], 0
     for s, p in zip(starts, parts, strict=False):
         mine = inverse[s : s + len(p[0])]
-        back.append(b"".join(x.astype(np.int64).tobytes() for x in (count[mine], context[mine], kinds[mine], pair[at : at + len(p[1])])))
+        back.append(planes(np.concatenate([count[mine], context[mine], kinds[mine], pair[at : at + len(p[1])]])))
         at += len(p[1])
     return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "counts": pa.array(back, pa.binary())})
 
@@ -142,8 +149,8 @@ class Automaton:
         words, pairs = len(block.words), len(block.next)
         self.count, context, kinds, pair = np.zeros(words, np.int64), np.zeros(words, np.int64), np.zeros(words, np.int64), np.zeros(pairs, np.int64)
         for bucket, x, y, p, q in block.parts():
-            got = np.frombuffer(blobs[bucket], np.int64)
             w = y - x
+            got = unplaned(blobs[bucket], 3 * w + q - p)
             self.count[x:y], context[x:y], kinds[x:y], pair[p:q] = got[:w], got[w : 2 * w], got[2 * w : 3 * w], got[3 * w :]
         unit = (self.count + 1) / (n + v + 1)
         self.root = np.log10(unit)
