@@ -1,4 +1,377 @@
-"""Registered queries of the engine and their DuckDB counterparts."""
+"""Registered queries of the engine and their DuckDB counterparts.
+
+A query that standard SQL expresses is one text for both engines; what is ours
+(buckets, gap filling, bookends, histograms, hypertables, continuous
+aggregates) is built from the library and compared with DuckDB's own SQL.
+"""
+
+from __future__ import annotations
+
+import re
+import tempfile
+import uuid
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import aggregates as A
+from ..functions import uuid7
+from ..functions.buckets import bucket_int, bucket_range, time_bucket
+from ..operators.gapfill import Fill, Gapfill, gapfill
+from ..sources import hypertable as H
+from .cagg import ContinuousAggregate, Definition, answer, roll_up
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+TABLES = "region nation customer supplier part orders lineitem events".split()
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def register(name: str, oracle: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if oracle:
+            ORACLES[name] = oracle
+        return f
+
+    return add
+
+
+def shared(name: str, sql: str, duck: str | None = None) -> None:
+    """One SQL text for both engines, duck where DuckDB spells it otherwise."""
+    used = [t for t in TABLES if re.search(rf"\b{t}\b", sql)]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        text = sql
+        for t in used:
+            text = re.sub(rf"\b{t}\b(?!\.)", "{" + t + "}", text)
+        return spark.sql(text, **{t: table(spark, sf_dir, t) for t in used})
+
+    QUERIES[name], ORACLES[name] = run, duck or sql
+
+
+def scratch(spark: SparkSession) -> str:
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tempora-")
+    return f"{root.rstrip('/')}/tables-{uuid.uuid4().hex}"
+
+
+# ---------------------------------------------------------------- buckets
+
+
+def bucket_count(name: str, source: str, column: str, width: str, duck: str, **options) -> None:
+    @register(name, f"SELECT {duck} AS bucket, count(*) AS n FROM {source} GROUP BY 1")
+    def run(spark, sf_dir):
+        df = table(spark, sf_dir, source)
+        return df.groupBy(time_bucket(width, F.col(column), "timestamp_ntz", **options).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+for _name, _source, _column, _width in (("bucket_15min", "events", "ts", "15 minutes"), ("bucket_hour", "events", "ts", "1 hour"), ("bucket_day", "events", "ts", "1 day"), ("bucket_week", "events", "ts", "7 days"), ("bucket_13d", "orders", "o_orderdate", "13 days"), ("bucket_month", "orders", "o_orderdate", "1 month"), ("bucket_5mon", "orders", "o_orderdate", "5 months")):
+    bucket_count(_name, _source, _column, _width, f"time_bucket(INTERVAL '{_width}', {_column})::TIMESTAMP")
+bucket_count("bucket_offset", "events", "ts", "1 hour", "time_bucket(INTERVAL '1 hour', ts - INTERVAL '15 minutes') + INTERVAL '15 minutes'", offset="15 minutes")
+bucket_count("bucket_origin", "orders", "o_orderdate", "7 days", "time_bucket(INTERVAL '7 days', o_orderdate, TIMESTAMP '2000-01-01')", origin=datetime(2000, 1, 1))
+
+
+@register("bucket_timezone", "SELECT timezone('America/New_York', time_bucket(INTERVAL '1 day', timezone('America/New_York', timezone('UTC', ts)))) AT TIME ZONE 'UTC' AS bucket, count(*) AS n FROM events GROUP BY 1")
+def bucket_timezone(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy(time_bucket("1 day", F.col("ts"), "timestamp_ntz", timezone="America/New_York").alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@register("bucket_int", "SELECT (floor(o_orderkey / 1000.0) * 1000)::BIGINT AS bucket, count(*) AS n FROM orders GROUP BY 1")
+def bucket_int_query(spark, sf_dir):
+    return table(spark, sf_dir, "orders").groupBy(bucket_int(1000, F.col("o_orderkey")).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@register("bucket_int_offset", "SELECT (floor((o_orderkey - 7) / 100.0) * 100 + 7)::BIGINT AS bucket, count(*) AS n FROM orders GROUP BY 1")
+def bucket_int_offset(spark, sf_dir):
+    return table(spark, sf_dir, "orders").groupBy(bucket_int(100, F.col("o_orderkey"), 7).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@register("bucket_date", "SELECT time_bucket(INTERVAL '10 days', l_shipdate::DATE)::DATE AS bucket, count(*) AS n FROM lineitem GROUP BY 1")
+def bucket_date(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy(time_bucket("10 days", F.col("l_shipdate").cast("date"), "date").alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@register("uuid7_round_trip", "SELECT event_id, time_bucket(INTERVAL '1 millisecond', ts) AS t, 7 AS version FROM events")
+def uuid7_round_trip(spark, sf_dir):
+    u = table(spark, sf_dir, "events").withColumn("u", uuid7.to_uuidv7(F.col("ts")))
+    return u.select("event_id", uuid7.timestamp(F.col("u")).cast("timestamp_ntz").alias("t"), uuid7.version(F.col("u")).alias("version"))
+
+
+# ---------------------------------------------------------------- bookends, histogram
+
+
+@register(
+    "ohlc",
+    "SELECT time_bucket(INTERVAL '1 hour', ts) AS bucket, event_type, count(*) AS n, round(avg(value), 6) AS mean, arg_min_null(value, (ts, event_id)) AS open, "
+    "max(value) AS high, min(value) AS low, arg_max_null(value, (ts, event_id)) AS close FROM events GROUP BY 1, 2",
+)
+def ohlc(spark, sf_dir):
+    key, v = F.struct("ts", "event_id"), F.col("value")
+    return table(spark, sf_dir, "events").groupBy(time_bucket("1 hour", F.col("ts"), "timestamp_ntz").alias("bucket"), "event_type").agg(
+        F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), A.first(v, key).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), A.last(v, key).alias("close")
+    )
+
+
+@register("first_last", "SELECT user_id, arg_min_null(event_type, (ts, event_id)) AS first_type, arg_max_null(event_type, (ts, event_id)) AS last_type FROM events GROUP BY 1")
+def first_last(spark, sf_dir):
+    key, v = F.struct("ts", "event_id"), F.col("event_type")
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(A.first(v, key).alias("first_type"), A.last(v, key).alias("last_type"))
+
+
+@register("histogram_value", "SELECT event_type, [" + ", ".join(["count(*) FILTER (value < 0)::INT", *[f"count(*) FILTER (value >= {20 * i} AND value < {20 * i + 20})::INT" for i in range(5)], "count(*) FILTER (value >= 100)::INT"]) + "] AS h FROM events GROUP BY 1")
+def histogram_value(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(A.histogram(F.col("value"), 0.0, 100.0, 5).alias("h"))
+
+
+# ---------------------------------------------------------------- gap filling
+
+START, FINISH = datetime(2024, 1, 5), datetime(2024, 1, 7)
+_GRID = """
+WITH e AS (SELECT time_bucket(INTERVAL '10 minutes', ts) AS bucket, event_type, count(*) AS n, sum(event_id) AS v, true AS re FROM events
+  WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-07' AND user_id % 5 = 0 GROUP BY 1, 2),
+k AS (SELECT DISTINCT event_type FROM e),
+g AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-05', TIMESTAMP '2024-01-06 23:59:59', INTERVAL '10 minutes')) AS bucket),
+f AS (SELECT g.bucket, k.event_type, n, v::BIGINT AS v, coalesce(re, false) AS re FROM g CROSS JOIN k LEFT JOIN e ON e.bucket = g.bucket AND e.event_type = k.event_type)
+"""
+
+
+def sparse(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "events").where((F.col("ts") >= F.lit(START).cast("timestamp_ntz")) & (F.col("ts") < F.lit(FINISH).cast("timestamp_ntz")) & (F.col("user_id") % 5 == 0))
+
+
+def filled(spark, sf_dir, fill: Fill | None) -> DataFrame:
+    spec = Gapfill("10 minutes", "ts", START, FINISH, ["event_type"])
+    return gapfill(sparse(spark, sf_dir), spec, {"n": F.count("*"), "v": F.sum("event_id")}, {"v": fill} if fill else {})
+
+
+@register("gapfill_basic", _GRID + "SELECT bucket, event_type, n, v FROM f")
+def gapfill_basic(spark, sf_dir):
+    return filled(spark, sf_dir, None)
+
+
+@register("gapfill_locf", _GRID + "SELECT bucket, event_type, n, last_value(v IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY bucket) AS v FROM f")
+def gapfill_locf(spark, sf_dir):
+    return filled(spark, sf_dir, Fill("locf"))
+
+
+@register("gapfill_locf_prev", _GRID + "SELECT bucket, event_type, n, coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY bucket), -1) AS v FROM f")
+def gapfill_locf_prev(spark, sf_dir):
+    return filled(spark, sf_dir, Fill("locf", prev=F.lit(-1).cast("long")))
+
+
+_LINE = """, p AS (SELECT *, last_value(CASE WHEN re THEN epoch_us(bucket) END IGNORE NULLS) OVER b AS x0, last_value(v IGNORE NULLS) OVER b AS y0,
+  first_value(CASE WHEN re THEN epoch_us(bucket) END IGNORE NULLS) OVER a AS x1, first_value(v IGNORE NULLS) OVER a AS y1, epoch_us(bucket) AS x FROM f
+  WINDOW b AS (PARTITION BY event_type ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY event_type ORDER BY bucket ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT bucket, event_type, n, CASE WHEN re THEN v ELSE round((y0::DOUBLE * (x1 - x) + y1::DOUBLE * (x - x0)) / (x1 - x0))::BIGINT END AS v FROM p"""
+
+
+@register("gapfill_interpolate", _GRID + _LINE)
+def gapfill_interpolate(spark, sf_dir):
+    return filled(spark, sf_dir, Fill("interpolate"))
+
+
+@register("gapfill_window", _GRID + ", l AS (SELECT bucket, event_type, last_value(v IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY bucket) AS v FROM f) SELECT *, lag(v) OVER (PARTITION BY event_type ORDER BY bucket) AS before FROM l")
+def gapfill_window(spark, sf_dir):
+    out = filled(spark, sf_dir, Fill("locf")).drop("n")
+    return out.withColumn("before", F.lag("v").over(Window.partitionBy("event_type").orderBy("bucket")))
+
+
+# ---------------------------------------------------------------- hypertables, continuous aggregates
+
+
+def event_table(spark, sf_dir, rows: DataFrame | None = None, **options) -> H.Hypertable:
+    df = table(spark, sf_dir, "events")
+    return H.Hypertable.create(spark, scratch(spark), df.schema, H.by_range("ts", "1 day"), H.by_hash("user_id", 2), data=df if rows is None else rows, **options)
+
+
+@register("time_pruned_scan", "SELECT event_id, ts, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-12 06:00:00'")
+def time_pruned_scan(spark, sf_dir):
+    return event_table(spark, sf_dir).scan(datetime(2024, 1, 10), datetime(2024, 1, 12, 6)).select("event_id", "ts", "event_type")
+
+
+@register("bucket_pruned_scan", "SELECT event_id FROM events WHERE time_bucket(INTERVAL '7 days', ts) = TIMESTAMP '2024-01-08'")
+def bucket_pruned_scan(spark, sf_dir):
+    low, high = bucket_range("=", "7 days", datetime(2024, 1, 8))
+    df = event_table(spark, sf_dir).scan(low, high)
+    return df.where(time_bucket("7 days", F.col("ts"), "timestamp_ntz") == F.lit(datetime(2024, 1, 8)).cast("timestamp_ntz")).select("event_id")
+
+
+@register("space_pruned_scan", "SELECT event_id FROM events WHERE user_id = 7")
+def space_pruned_scan(spark, sf_dir):
+    return event_table(spark, sf_dir).scan(space_value=7).select("event_id")
+
+
+@register("chunk_counts", "SELECT (floor(epoch_us(ts) / 86400000000.0) * 86400000000)::BIGINT AS range_start, count(*)::BIGINT AS row_count FROM events GROUP BY 1")
+def chunk_counts(spark, sf_dir):
+    return event_table(spark, sf_dir).chunk_table().groupBy("range_start").agg(F.sum("rows").alias("row_count"))
+
+
+@register("compressed_scan", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def compressed_scan(spark, sf_dir):
+    t = H.Hypertable.create(spark, scratch(spark), table(spark, sf_dir, "events").schema, H.by_range("ts", "7 days"), segmentby=("event_type",), bloom=("event_type",), data=table(spark, sf_dir, "events"))
+    t.compress()
+    return t.scan().groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@register("retention", "SELECT count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-15'")
+def retention(spark, sf_dir):
+    t = event_table(spark, sf_dir)
+    t.drop_chunks(older_than=datetime(2024, 1, 15))
+    return t.scan().agg(F.count("*").alias("n"))
+
+
+@register("delete_range", "SELECT event_id FROM events WHERE NOT (event_type = 'view' AND ts < TIMESTAMP '2024-01-10')")
+def delete_range(spark, sf_dir):
+    t = event_table(spark, sf_dir)
+    H.delete(t, (F.col("event_type") == "view") & (F.col("ts") < F.lit(datetime(2024, 1, 10)).cast("timestamp_ntz")), high=datetime(2024, 1, 10))
+    return t.scan().select("event_id")
+
+
+@register("update_range", "SELECT event_id, CASE WHEN event_type = 'click' THEN value * 2 ELSE value END AS value FROM events")
+def update_range(spark, sf_dir):
+    t = event_table(spark, sf_dir)
+    H.update(t, {"value": F.col("value") * 2}, F.col("event_type") == "click")
+    return t.scan().select("event_id", "value")
+
+
+@register("upsert_latest", "SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'new' ELSE event_type END AS event_type FROM events")
+def upsert_latest(spark, sf_dir):
+    t = event_table(spark, sf_dir)
+    H.upsert(t, table(spark, sf_dir, "events").where("event_id % 10 = 0").withColumn("event_type", F.lit("new")), ["event_id"])
+    return t.scan().select("event_id", "event_type")
+
+
+@register("upsert_nothing", "SELECT event_id, event_type FROM events")
+def upsert_nothing(spark, sf_dir):
+    t = event_table(spark, sf_dir, table(spark, sf_dir, "events").where("event_id % 2 = 0"))
+    H.upsert(t, table(spark, sf_dir, "events"), ["event_id"], do="nothing")
+    return t.scan().select("event_id", "event_type")
+
+
+@register("merge_rows", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'merged' ELSE event_type END AS event_type FROM events")
+def merge_rows(spark, sf_dir):
+    df = table(spark, sf_dir, "events")
+    t = event_table(spark, sf_dir, df.where("event_id % 2 = 0"))
+    H.merge(t, df.where("event_id % 2 = 1 OR event_id % 3 = 0").withColumn("event_type", F.when(F.col("event_id") % 3 == 0, "merged").otherwise(F.col("event_type"))), ["event_id"])
+    return t.scan().select("event_id", "event_type")
+
+
+_HOURLY = "SELECT time_bucket(INTERVAL '1 hour', ts) AS bucket, event_type, count(*) AS n, max(value) AS high FROM events GROUP BY 1, 2"
+
+
+def hourly() -> Definition:
+    return Definition("1 hour", ["event_type"], {"n": F.count("*"), "high": F.max("value")})
+
+
+@register("cagg_refresh_realtime", _HOURLY)
+def cagg_refresh_realtime(spark, sf_dir):
+    t = event_table(spark, sf_dir)
+    c = ContinuousAggregate(t, scratch(spark), hourly())
+    c.refresh(end=datetime(2024, 1, 20))
+    return c.view()
+
+
+@register("cagg_late_data", _HOURLY)
+def cagg_late_data(spark, sf_dir):
+    df = table(spark, sf_dir, "events")
+    t = event_table(spark, sf_dir, df.where("event_id % 7 <> 0"))
+    c = ContinuousAggregate(t, scratch(spark), hourly())
+    c.refresh()
+    t.append(df.where("event_id % 7 = 0"))
+    c.refresh()
+    return c.view()
+
+
+@register("cagg_hierarchical", "SELECT time_bucket(INTERVAL '1 day', ts) AS bucket, count(*)::BIGINT AS n FROM events GROUP BY 1")
+def cagg_hierarchical(spark, sf_dir):
+    c = ContinuousAggregate(event_table(spark, sf_dir), scratch(spark), hourly())
+    c.refresh()
+    return roll_up(c, "1 day", {"n": F.sum("n")})
+
+
+@register("cagg_rewrite", "SELECT time_bucket(INTERVAL '1 hour', ts) AS bucket, event_type, count(*) AS events FROM events GROUP BY 1, 2")
+def cagg_rewrite(spark, sf_dir):
+    t = event_table(spark, sf_dir)
+    c = ContinuousAggregate(t, scratch(spark), hourly())
+    c.refresh()
+    return answer([c], t, Definition("1 hour", ["event_type"], {"events": F.count("*")}))
+
+
+@register("asof_join", "SELECT a.event_id, b.event_id AS click_id FROM events a ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click' QUALIFY row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id DESC) = 1) b ON a.user_id = b.user_id AND a.ts >= b.ts WHERE a.event_type = 'purchase'")
+def asof_join(spark, sf_dir):
+    e = table(spark, sf_dir, "events").where("event_type IN ('click', 'purchase')")
+    click = F.when(F.col("event_type") == "click", F.col("event_id"))
+    w = Window.partitionBy("user_id").orderBy("ts", F.col("event_type"), "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return e.withColumn("click_id", F.last(click, True).over(w)).where("event_type = 'purchase'").select("event_id", "click_id")
+
+
+# ---------------------------------------------------------------- general relational layer
+
+shared("moving_avg", "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS mean FROM events")
+shared("lag_lead", "SELECT event_id, lag(event_id) OVER w AS before, lead(event_id) OVER w AS after FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+shared("rank_users", "SELECT user_id, n, CAST(rank() OVER (ORDER BY n DESC) AS BIGINT) AS r, CAST(dense_rank() OVER (ORDER BY n DESC) AS BIGINT) AS d, round(percent_rank() OVER (ORDER BY n DESC), 6) AS p FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) q")
+shared("ntile_buckets", "SELECT event_id, CAST(ntile(4) OVER (PARTITION BY event_type ORDER BY value, event_id) AS BIGINT) AS q FROM events")
+shared("first_nth_value", "SELECT event_id, first_value(event_id) OVER w AS f, last_value(event_id) OVER w AS l, nth_value(event_id, 2) OVER w AS n2 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
+shared("distinct_on_latest", "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) q WHERE rn = 1")
+shared("top_k_recent", "SELECT event_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 20")
+shared("limit_offset", "SELECT event_id FROM events ORDER BY event_id LIMIT 10 OFFSET 15")
+shared("nulls_order", "SELECT event_id, CAST(row_number() OVER (ORDER BY CASE WHEN value > 50 THEN value END DESC NULLS FIRST, event_id) AS BIGINT) AS r FROM events")
+shared("distinct_types", "SELECT DISTINCT event_type, user_id % 10 AS slot FROM events")
+shared("inner_join", "SELECT o.o_orderkey, c.c_custkey, n.n_name FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey")
+shared("left_join", "SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_totalprice > 200000")
+shared("right_join", "SELECT c.c_custkey, o.o_orderkey FROM orders o RIGHT JOIN customer c ON o.o_custkey = c.c_custkey AND o.o_totalprice > 200000")
+shared("full_join", "SELECT c.c_custkey, s.s_suppkey FROM customer c FULL JOIN supplier s ON c.c_custkey = s.s_suppkey * 3")
+shared("cross_join", "SELECT r.r_name, n.n_name FROM region r CROSS JOIN nation n")
+shared("using_join", "SELECT a.event_id, b.event_type FROM events a JOIN (SELECT event_id, event_type FROM events WHERE value > 50) b USING (event_id)")
+shared("theta_join", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey")
+shared("semi_join", "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 300000)")
+shared("in_subquery", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
+shared("anti_join", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+shared("not_in", "SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_custkey < 20)")
+shared("lateral_latest", "SELECT c.c_custkey, l.o_orderkey FROM customer c, LATERAL (SELECT o_orderkey FROM orders o WHERE o.o_custkey = c.c_custkey ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1) l")
+shared("scalar_subquery", "SELECT c_custkey, (SELECT max(o_totalprice) FROM orders o WHERE o.o_custkey = c.c_custkey) AS best FROM customer c")
+shared("cte", "WITH big AS (SELECT o_custkey, sum(o_totalprice) AS total FROM orders GROUP BY o_custkey) SELECT o_custkey, round(total, 2) AS total FROM big WHERE total > 1000000")
+shared("recursive_cte", "WITH RECURSIVE t(n) AS (SELECT 1 AS n UNION ALL SELECT n + 1 FROM t WHERE n < 20) SELECT n FROM t")
+shared("union_all", "SELECT o_orderkey AS k FROM orders WHERE o_totalprice > 200000 UNION ALL SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O'")
+shared("union_distinct", "SELECT o_custkey AS k FROM orders UNION SELECT c_custkey FROM customer")
+shared("except_rows", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+shared("intersect_rows", "SELECT c_custkey AS k FROM customer INTERSECT SELECT o_custkey FROM orders")
+shared("agg_counts", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS qty, round(avg(l_discount), 6) AS disc, min(l_shipdate) AS lo, max(l_shipdate) AS hi, min(l_linestatus) AS s FROM lineitem GROUP BY l_returnflag, l_linestatus")
+shared("rollup", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+shared("cube", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+shared("grouping_sets", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())")
+shared("filter_agg", "SELECT event_type, count(*) FILTER (WHERE value > 50) AS many FROM events GROUP BY event_type")
+shared("having_agg", "SELECT user_id, count(*) AS n FROM events GROUP BY user_id HAVING count(*) > 12")
+shared("distinct_agg", "SELECT event_type, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
+shared("stddev_var", "SELECT event_type, round(stddev_samp(value), 5) AS s, round(var_pop(value), 5) AS v, round(stddev_pop(value), 5) AS sp, round(var_samp(value), 5) AS vs FROM events GROUP BY event_type")
+shared("corr_regr", "SELECT round(corr(l_quantity, l_extendedprice), 6) AS c, round(covar_pop(l_quantity, l_discount), 6) AS v, round(regr_slope(l_extendedprice, l_quantity), 4) AS s FROM lineitem")
+shared("bool_bit_agg", "SELECT event_type, bool_and(value > 0) AS a, bool_or(value > 90) AS o, bit_or(user_id) AS b FROM events GROUP BY event_type")
+shared("sum_bigint", "SELECT CAST(sum(CAST(o_orderkey AS DECIMAL(38, 0))) AS DECIMAL(38, 0)) AS total FROM orders")
+shared("percentile", "SELECT event_type, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY value), 6) AS median FROM events GROUP BY event_type")
+shared("funnel_case", "SELECT user_id, sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS views, coalesce(nullif(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END), 0), -1) AS bought FROM events GROUP BY user_id", "SELECT user_id, sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END)::BIGINT AS views, coalesce(nullif(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END), 0), -1)::BIGINT AS bought FROM events GROUP BY user_id")
+shared("json_extract", "SELECT event_id, get_json_object(props, '$.k') AS k FROM events", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+shared("like_in_between", "SELECT event_id FROM events WHERE (event_type LIKE 'p%' OR event_type NOT LIKE '%i%') AND user_id IN (1, 2, 3, 5, 8, 13) AND value BETWEEN 10 AND 90")
+shared("null_tests", "SELECT event_id FROM events WHERE nullif(user_id, 3) IS NULL OR event_type IS DISTINCT FROM 'view'")
+shared("greatest_least", "SELECT event_id, greatest(value, 50.0) AS g, least(value, 50.0) AS l FROM events")
+shared("date_parts", "SELECT o_orderkey, CAST(year(o_orderdate) AS BIGINT) AS y, CAST(month(o_orderdate) AS BIGINT) AS m, date_trunc('month', o_orderdate) AS t FROM orders", None)
+shared("string_functions", "SELECT event_id, upper(left(event_type, 3)) || '-' || substring(event_type, 2, 2) AS s FROM events")
+shared("math_functions", "SELECT event_id, ceil(value) AS c, round(sqrt(value + 1), 6) AS s, round(pow(value, 2), 4) AS p FROM events")
+
+
+@register("array_string_agg", "SELECT user_id, list(event_id ORDER BY event_id) AS ids, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds FROM events GROUP BY 1")
+def array_string_agg(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("ids"), F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("kinds"))
+
+
+@register("unnest", "SELECT event_id, unnest(range(1, 4)) AS i FROM events")
+def unnest(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(3).cast("long"))).alias("i"))
+
+
+@register("generate_series", "SELECT unnest(generate_series(TIMESTAMP '2024-01-31', TIMESTAMP '2024-02-03', INTERVAL '6 hours')) AS t")
+def generate_series(spark, sf_dir):
+    return spark.sql("SELECT explode(sequence(TIMESTAMP_NTZ '2024-01-31', TIMESTAMP_NTZ '2024-02-03', INTERVAL 6 HOURS)) AS t")
