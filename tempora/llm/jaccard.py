@@ -52,7 +52,11 @@ SHINGLE = 5
 COLD = 6
 SLACK = 1.3
 #: Bytes of text per bucket of signatures.
-BUCKET = 12 << 20
+BUCKET = 8 << 20
+#: Signatures that a task holds before it sends them.
+FLUSH = 1_200_000
+#: Groups of levels 2 and 3 with so few members are compared in the first round.
+SMALL = 6
 U64 = np.uint64
 _SEED = constants(91, 8)
 ID_MASK = U64((1 << 40) - 1)
@@ -174,7 +178,7 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             names = batch.schema.names
-            for i, j, data, offsets in slices(*text_buffer(batch.column(names.index("text")))):
+            for i, j, data, offsets in slices(*text_buffer(batch.column(names.index("text"))), 1 << 20):
                 sets, first = shingle_sets(data, offsets, k)
                 _, _, spare = level_1(sets, first)
                 yield pa.RecordBatch.from_arrays(
@@ -240,7 +244,7 @@ def signatures(docs: DataFrame, k: int, buckets: int) -> DataFrame:
     def run(batches):
         sigs, ids, held, seen = [], [], 0, np.zeros(0, U64)
         for batch in batches:
-            for _, _, data, offsets in slices(*text_buffer(batch.column(0))):
+            for _, _, data, offsets in slices(*text_buffer(batch.column(0)), 1 << 20):
                 sets, first = shingle_sets(data, offsets, k)
                 fp = fingerprints(sets, first)
                 _, once = np.unique(fp, return_index=True)
@@ -252,7 +256,7 @@ def signatures(docs: DataFrame, k: int, buckets: int) -> DataFrame:
                 sigs.append(sig[mine])
                 ids.append(fp[who[mine]] & ID_MASK)
                 held += len(sigs[-1])
-                if held > 4_000_000:
+                if held > FLUSH:
                     yield flush(sigs, ids)
                     sigs, ids, held = [], [], 0
         if held:
@@ -295,7 +299,7 @@ def load_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             names = batch.schema.names
-            for i, j, data, offsets in slices(*text_buffer(batch.column(names.index("text")))):
+            for i, j, data, offsets in slices(*text_buffer(batch.column(names.index("text"))), 1 << 20):
                 sets, first = shingle_sets(data, offsets, k)
                 blobs = [sets[first[d] : first[d + 1]].tobytes() for d in range(j - i)]
                 yield pa.RecordBatch.from_arrays([batch.column(names.index("fp"))[i:j], pa.array(np.diff(first)), pa.array(blobs, pa.binary())], names=["fp", "size", "elements"])
@@ -340,7 +344,7 @@ def leader_groups(sets: DataFrame, buckets: int) -> DataFrame:
             at = 0
             while at < len(blobs):  # level 2 makes some 1.2 signatures of each element
                 end, size = at, 0
-                while end < len(blobs) and (end == at or size + len(blobs[end]) < 16 << 20):
+                while end < len(blobs) and (end == at or size + len(blobs[end]) < 2 << 20):
                     size += len(blobs[end])
                     end += 1
                 first = np.concatenate([[0], np.cumsum([len(b) // 8 for b in blobs[at:end]])])
@@ -411,7 +415,7 @@ def similar(docs: DataFrame, k: int = SHINGLE, numerator: int = 3, denominator:
             open_ = staged(open_, "open")
             if not open_.take(1):
                 break
-            level = F.greatest(F.ceil(F.log2("members")) - round_, F.lit(0)).cast("int")
+            level = F.when(F.col("members") <= SMALL, 0).otherwise(F.greatest(F.ceil(F.log2("members")) - round_, F.lit(0))).cast("int")
             leads = F.pmod(F.xxhash64("fp"), F.pow(F.lit(2.0), level).cast("long")) == 0
             lead = named.where(leads).select("gid", F.col("fp").alias("lead"), F.col("label").alias("lead_label"))
             if round_ == 0:
@@ -426,6 +430,8 @@ def similar(docs: DataFrame, k: int = SHINGLE, numerator: int = 3, denominator:
                 labels = components(links)
             if (1 << round_) >= largest:
                 break
+            # groups that are one component, or whose members were all leaders, are done
+            members = staged(members.join(open_, "gid", "left_semi").where((F.col("members") > SMALL) & (F.ceil(F.log2("members")) > round_)), "members")
             round_ += 1
     return rows, links
 
