@@ -1,0 +1,108 @@
+import hashlib
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from tempora.llm import decontaminate, jaccard, linededup, lm, pieces, pii, quality, secrets, substringdedup, suffixdedup
+
+R = random.Random(4)
+WORDS = [f"w{i}" for i in range(60)]
+
+
+def sentence():
+    return " ".join(R.choice(WORDS) for _ in range(R.randint(4, 12))) + "."
+
+
+SHARED = [sentence() for _ in range(8)]
+TEXTS = [None, "", " \n ", "x", "...", "a@b.cd or +1 (499) 555-6503 or 1.2.3.4 or 4785380592391139 or token = 'abcdefgh1234'"]
+for _ in range(40):
+    body = [sentence() for _ in range(R.randint(1, 12))]
+    if R.random() < 0.6:
+        body[R.randint(0, len(body)) :] = SHARED[R.randint(0, 2) :]
+    TEXTS.append(R.choice(["\n", " "]).join(body))
+TEXTS += [TEXTS[10], TEXTS[10] + " more", " ".join(WORDS * 400)]
+ROWS = [(i, t, "s0" if i % 3 else None, i) for i, t in enumerate(TEXTS)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(ROWS, "doc_id long, text string, source string, n long").repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.where("false")
+
+
+PAIRS = [(i, t) for i, t, *_ in ROWS]
+
+
+def test_substring(docs):
+    want = substringdedup.brute(PAIRS)
+    got = {r.doc_id: (r.n_sentences, r.n_removed, r.kept_sha256) for r in substringdedup.op4(docs).collect()}
+    assert got == want
+
+
+def test_suffix(docs):
+    want = suffixdedup.brute(PAIRS)
+    assert {r.doc_id: tuple(r)[1:] for r in suffixdedup.op8(docs).collect()} == want
+
+
+def test_jaccard(docs):
+    want = jaccard.brute(PAIRS)
+    assert {r.doc_id: tuple(r)[1:] for r in jaccard.op5(docs).collect()} == want
+
+
+def test_language_model(docs):
+    want = lm.brute(PAIRS)
+    for r in lm.op10(docs).collect():
+        assert tuple(r)[1:5] == want[r.doc_id][:4]
+        assert tuple(r)[5:] == pytest.approx(want[r.doc_id][4:])
+
+
+def test_pieces(docs):
+    out = pieces.decode_table(pieces.encode(docs))
+    assert out.where("NOT (decoded_text <=> text) OR NOT _round_trip").count() == 0
+
+
+def test_decontaminate(spark, docs):
+    items = spark.createDataFrame([(1, " ".join(SHARED[3:6])), (2, "x"), (3, None), (None, "zzz")], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.op9(docs, items).collect()}
+    windows = {}
+    for i, t in ((1, " ".join(SHARED[3:6])), (2, "x")):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower())
+        for k in range(max(1, len(w) - 12)):
+            windows.setdefault(tuple(w[k : k + 13]), set()).add(str(i))
+    for d, t in PAIRS:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
+        hit, seen = set(), set()
+        for win, ids in windows.items():
+            for k in range(len(w) - len(win) + 1):
+                if tuple(w[k : k + len(win)]) == win:
+                    hit.update(range(k, k + len(win)))
+                    seen |= ids
+        r = got[d]
+        assert (r.n_words, r.n_hit, r.n_items, r.items_sha256) == (len(w), len(hit), len(seen), hashlib.sha256(",".join(sorted(seen)).encode()).hexdigest())
+
+
+def test_pii_and_secrets(docs):
+    r = pii.op1(docs).where("doc_id = 5").first()
+    assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == (1, 1, 1, 1)
+    assert "a@b.cd" not in pii.redact(docs).where("doc_id = 5").first().clean_text
+    r = secrets.op6(docs).where("doc_id = 5").first()
+    assert r.n_assign == 1 and r.spans.startswith("assign:")
+
+
+@pytest.mark.parametrize("op", [pii.op1, quality.op2, linededup.op3, substringdedup.op4, jaccard.op5, secrets.op6, pieces.op7, suffixdedup.op8, lm.op10])
+def test_every_row_once(docs, empty, op):
+    assert sorted(r.doc_id for r in op(docs).select("doc_id").collect()) == [i for i, *_ in ROWS]
+    assert op(empty).count() == 0
+
+
+def test_lines(spark):
+    line = "the same line of text here"
+    df = spark.createDataFrame([(1, f"a\n {line.upper()} \nb"), (2, line), (3, f"{line}\n{line}"), (4, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in linededup.line_dedup(df.withColumn("kept_text", F.lit(1))).collect()}
+    assert [got[i].kept_text for i in (1, 2, 3, 4)] == ["a\nb", "", f"{line}\n{line}", ""]
