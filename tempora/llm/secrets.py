@@ -27,7 +27,7 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 #: (kind, pattern, a pattern that every passing match holds, group, fewest characters of that group)
 KINDS = (
-    ("assign", ASSIGN, r"(?i:passw|secret|token|api_?key)[^:=]{0,1000}[:=]", 2, 8),
+    ("assign", ASSIGN, r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]""", 2, 8),
     ("access", ACCESS, r"AKIA[A-Z0-9]{12}", 0, 16),
     ("hex", r"[0-9a-f]{32,}", r"[0-9a-f]{32}", 0, 32),
 )

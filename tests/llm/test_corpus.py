@@ -106,3 +106,10 @@ def test_lines(spark):
     df = spark.createDataFrame([(1, f"a\n {line.upper()} \nb"), (2, line), (3, f"{line}\n{line}"), (4, None)], "doc_id long, text string")
     got = {r.doc_id: r for r in linededup.line_dedup(df.withColumn("kept_text", F.lit(1))).collect()}
     assert [got[i].kept_text for i in (1, 2, 3, 4)] == ["a\nb", "", f"{line}\n{line}", ""]
+
+
+def test_secret_after_many_spaces(spark):
+    df = spark.createDataFrame([(1, "PassWord" + " " * 3000 + "= 'abcdefgh'", "s"), (2, "password: short", "s")], "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in secrets.op6(df).collect()}
+    assert (got[1].n_assign, got[1].spans) == (1, "assign:0:3019")
+    assert (got[2].n_assign, got[2].spans) == (0, "")
