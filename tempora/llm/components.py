@@ -26,3 +26,14 @@ def components(links: DataFrame) -> DataFrame:
         labels = moved.select("node", "label")
         if not moved.where("old <> label").take(1):
             return labels
+
+
+def extended(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The result of components() over further links, from its result so far: only labels that the new links join are worked on."""
+    ends = links
+    for side in ("a", "b"):
+        known = labels.select(F.col("node").alias(side), F.col("label").alias("known"))
+        ends = ends.join(known, side, "left").withColumn(side, F.coalesce("known", side)).drop("known")
+    moved = components(ends.where("a <> b").distinct())
+    renamed = labels.join(moved.select(F.col("node").alias("label"), F.col("label").alias("lower")), "label", "left").select("node", F.coalesce("lower", "label").alias("label"))
+    return staged(renamed.union(moved.join(labels, "node", "left_anti").select("node", "label")), "labels")

@@ -22,7 +22,7 @@ A pair is found at the first level at which one of the two does not fall
 short, or at level 3. At level 1 a pair must share as many signatures as H
 leaves equal, which drops most texts that share a passage only. Groups of level 1 have at most COLD members and give
 their pairs. Groups of levels 2 and 3 give links to leaders first: one member,
-then in each round twice as many, and only members not yet joined with the
+then in each round four times as many, and only members not yet joined with the
 leader are compared, until each group is one component or all are leaders. So
 groups of near copies cost about one comparison per member and no link between
 components is lost. Every candidate is verified on both whole sets.
@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import NOT_SPACE, Words, constants, mix, runs, signed, skew_lookup, slices, staged, text_buffer
-from .components import components
+from .components import components, extended
 
 SHINGLE = 5
 #: A level-1 signature that more different sets share is skipped.
@@ -57,6 +57,8 @@ BUCKET = 8 << 20
 FLUSH = 1_200_000
 #: Groups of levels 2 and 3 with so few members are compared in the first round.
 SMALL = 6
+#: Each round has 2 ** STEP times the leaders of the one before.
+STEP = 2
 U64 = np.uint64
 _SEED = constants(91, 8)
 ID_MASK = U64((1 << 40) - 1)
@@ -378,6 +380,12 @@ def leader_groups(sets: DataFrame, buckets: int) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(gather, "gid long, fp long, members long").dropDuplicates(["gid", "fp"])
 
 
+def leads(shift: int):
+    """Whether a member of a group leads when so many times twice as many as at first do."""
+    level = F.when(F.col("members") <= SMALL, 0).otherwise(F.greatest(F.ceil(F.log2("members")) - shift, F.lit(0))).cast("int")
+    return F.pmod(F.xxhash64("fp"), F.pow(F.lit(2.0), level).cast("long")) == 0
+
+
 def similar(docs: DataFrame, k: int = SHINGLE, numerator: int = 3, denominator: int = 4) -> tuple[DataFrame, DataFrame]:
     """(documents, links): doc_id, text_hash, fp, size, class_id per row; and a, b: classes linked (those needed for components)."""
     if (numerator, denominator) != (3, 4):
@@ -405,8 +413,9 @@ def similar(docs: DataFrame, k: int = SHINGLE, numerator: int = 3, denominator:
     tested = pairs
     links = staged(verified(pairs, sets, numerator, denominator), "links")
     if short.take(1):
-        members = staged(leader_groups(sets.join(short, "fp", "left_semi"), buckets), "members")
-        round_ = 0
+        members = leader_groups(sets.join(short, "fp", "left_semi"), buckets)
+        members = staged(members.join(classes.select("fp", "size"), "fp"), "members")
+        shift = 0
         largest = members.agg(F.max("members")).first()[0] or 0
         labels = components(links)
         while largest > 1:
@@ -415,24 +424,30 @@ def similar(docs: DataFrame, k: int = SHINGLE, numerator: int = 3, denominator:
             open_ = staged(open_, "open")
             if not open_.take(1):
                 break
-            level = F.when(F.col("members") <= SMALL, 0).otherwise(F.greatest(F.ceil(F.log2("members")) - round_, F.lit(0))).cast("int")
-            leads = F.pmod(F.xxhash64("fp"), F.pow(F.lit(2.0), level).cast("long")) == 0
-            lead = named.where(leads).select("gid", F.col("fp").alias("lead"), F.col("label").alias("lead_label"))
-            if round_ == 0:
-                lead = lead.union(named.groupBy("gid").agg(F.min(F.struct("fp", "label")).alias("x")).select("gid", "x.*")).distinct()
-            met = named.join(open_, "gid", "left_semi").join(lead, "gid").where("label <> lead_label")
+            here = staged(named.join(open_, "gid", "left_semi"), "members")
+            now = leads(shift)
+            if shift:  # what led in an earlier round has met the whole group
+                now = now & ~leads(shift - STEP)
+            lead = here.where(now).select("gid", F.col("fp").alias("lead"), F.col("size").alias("lead_size"), F.col("label").alias("lead_label"))
+            if shift == 0:
+                lead = lead.union(here.groupBy("gid").agg(F.min(F.struct("fp", "size", "label")).alias("x")).select("gid", "x.*")).distinct()
+                follow = here
+            else:
+                follow = here.where(~leads(shift - STEP))
+            close = denominator * F.least("size", "lead_size") >= numerator * F.greatest("size", "lead_size")
+            met = follow.join(lead, "gid").where((F.col("label") != F.col("lead_label")) & close)
             fresh = met.select(F.least("fp", "lead").alias("a"), F.greatest("fp", "lead").alias("b")).distinct()
             fresh = staged(fresh.join(tested, ["a", "b"], "left_anti"), "pairs")
             more = staged(verified(fresh, sets, numerator, denominator), "links")
             tested = tested.union(fresh)
             if more.take(1):
                 links = links.union(more)
-                labels = components(links)
-            if (1 << round_) >= largest:
+                labels = extended(labels, more)
+            if (1 << shift) >= largest:
                 break
-            # groups that are one component, or whose members were all leaders, are done
-            members = staged(members.join(open_, "gid", "left_semi").where((F.col("members") > SMALL) & (F.ceil(F.log2("members")) > round_)), "members")
-            round_ += 1
+            # groups whose members were all leaders are done; those that are one component go at the next round's start
+            members = here.where((F.col("members") > SMALL) & (F.ceil(F.log2("members")) > shift)).drop("label")
+            shift += STEP
     return rows, links
 
 

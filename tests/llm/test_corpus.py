@@ -113,3 +113,15 @@ def test_secret_after_many_spaces(spark):
     got = {r.doc_id: r for r in secrets.op6(df).collect()}
     assert (got[1].n_assign, got[1].spans) == (1, "assign:0:3019")
     assert (got[2].n_assign, got[2].spans) == (0, "")
+
+
+def test_jaccard_rounds(spark):
+    r, texts = random.Random(9), []
+    for size in (30, 120):  # passages in many texts: some of these link, others fall just short
+        passage = [f"p{size}.{i}" for i in range(size)]
+        for n in range(90):
+            own = [f"q{size}.{n % 30}.{i}" for i in range(r.randint(size // 6, size // 2))]
+            texts.append(" ".join(passage[: size - r.randint(0, size // 8)] + own[: r.randint(0, len(own))]))
+    pairs = list(enumerate(texts, 1))
+    df = spark.createDataFrame(pairs, "doc_id long, text string").repartition(3)
+    assert {x.doc_id: tuple(x)[1:] for x in jaccard.op5(df).collect()} == jaccard.brute(pairs)
