@@ -58,7 +58,7 @@ STAGES = [
     ("encoding", encoding),
 ]
 
-#: The last two stages' trees of matches and lattices are beyond SQL; tests hold run() against plain Python.
+#: Reachability of near duplicates and lattices of pieces are beyond SQL; tests hold each operator against plain Python.
 ORACLE_SQL = None
 
 
