@@ -21,5 +21,5 @@ def histogram(value: Column, low: float, high: float, buckets: int) -> Column:
         raise ValueError("lower bound cannot exceed upper bound")
     if buckets < 1:
         raise ValueError("number of buckets must be positive")
-    place = F.when(value < low, 0).when(value >= high, buckets + 1).otherwise(F.least(F.floor((value - low) * buckets / (high - low)) + 1, F.lit(buckets)))
+    place = F.when(value < low, 0).when(value >= high, buckets + 1).when(value.isNotNull(), F.least(F.floor((value - low) * buckets / (high - low)) + 1, F.lit(buckets)))
     return F.when(F.count("*") > 0, F.array(*[F.count_if(place == i).cast("int") for i in range(buckets + 2)]))
