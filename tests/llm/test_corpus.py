@@ -67,6 +67,25 @@ def test_pieces(docs):
     assert out.where("NOT (decoded_text <=> text) OR NOT _round_trip").count() == 0
 
 
+def test_pieces_searched_together_and_alone():
+    r = random.Random(3)
+    parts = ["\u2581", "\n", "x" * 200, "\u2581\u00e9\U0001f600" + pieces.MARK, "\u2581\x00ab"]
+    parts += ["\u2581" * r.randint(0, 3) + "".join(r.choice("etaoinshé日") for _ in range(r.randint(1, 30))) for _ in range(500)]
+    parts = list(dict.fromkeys(parts))
+    encoder = pieces.Encoder(pieces.Vocabulary(), 5)
+    assert encoder.search_many(parts) == [encoder.search(p) for p in parts]
+    encoder.add(parts)
+    assert all(encoder.all[encoder.index[p]] == encoder.search(p) for p in parts)
+    assert encoder.search_many([]) == []
+    for p in parts[:60]:  # against every segmentation of a short chunk
+        if len(p) <= 12:
+            ends, _ = encoder.lattice(p)
+            sums = {0: [0.0]}
+            for j in range(1, len(p) + 1):
+                sums[j] = [x + score for i, _, score in ends[j] for x in sums[i]]
+            assert [x for x, _ in encoder.search(p)] == pytest.approx(sorted(sums[len(p)], reverse=True)[:5])
+
+
 def test_decontaminate(spark, docs):
     items = spark.createDataFrame([(1, " ".join(SHARED[3:6])), (2, "x"), (3, None), (None, "zzz")], "item_id long, text string")
     got = {r.doc_id: r for r in decontaminate.op9(docs, items).collect()}
