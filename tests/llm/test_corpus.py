@@ -77,6 +77,7 @@ def test_pieces_searched_together_and_alone():
     encoder.add(parts)
     assert all(encoder.all[encoder.index[p]] == encoder.search(p) for p in parts)
     assert encoder.search_many([]) == []
+    assert encoder.search_many(["\n"]) == [encoder.search("\n")]
     for p in parts[:60]:  # against every segmentation of a short chunk
         if len(p) <= 12:
             ends, _ = encoder.lattice(p)
