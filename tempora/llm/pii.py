@@ -170,9 +170,9 @@ def scan(batches):
         for _, _, data, offsets in slices(*text_buffer(column)):
             parts.append(document_counts(Words(data, offsets, ALNUM)))
             held += len(parts[-1][0])
-            if held > 4_000_000:
+            if held > 1_000_000:
                 parts = [combined(parts)]
-                if len(parts[0][0]) > 3_000_000:
+                if len(parts[0][0]) > 750_000:
                     yield counted(*parts[0])
                     parts = []
                 held = sum(len(p[0]) for p in parts)
