@@ -47,7 +47,7 @@ SUPPORT = 2
 GENERALISE = 0.6
 REMOVE = 0.85
 DIGITS = re.compile(r"[0-9]")
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # on raw text, the words of ALNUM
 
 
 def luhn(digits: str) -> bool:

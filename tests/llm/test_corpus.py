@@ -115,6 +115,14 @@ def test_pii_and_secrets(docs):
     assert r.n_assign == 1 and r.spans.startswith("assign:")
 
 
+def test_capitalised_names_disclose(spark):
+    texts = ["Dear McDonald, mail a@b.cd today", "ACME: a@b.cd is MCDONALD of acme"] + [f"other words of text {i} today, e{i}@b.cd" for i in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.op1(df).collect()}
+    assert got[0] == "remove:5:13,email:20:26"
+    assert got[1] == "email:6:12,remove:16:24"
+
+
 @pytest.mark.parametrize("op", [pii.op1, quality.op2, linededup.op3, substringdedup.op4, jaccard.op5, secrets.op6, pieces.op7, suffixdedup.op8, lm.op10])
 def test_every_row_once(docs, empty, op):
     assert sorted(r.doc_id for r in op(docs).select("doc_id").collect()) == [i for i, *_ in ROWS]
