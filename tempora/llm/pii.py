@@ -1,20 +1,27 @@
-"""PII: pattern matches plus information-theoretic sanitisation of the terms around them.
+"""PII: pattern matches plus information-theoretic sanitisation of the terms that go with them.
 
-Base patterns find entities (email, ip, card, phone). Terms are the words near
-an entity. Over the whole corpus, with N documents, c(t) documents that hold a
-term, c(e) that hold an entity and c(e, t) that hold the term near the entity:
+Base patterns find entities (email, ip, card, phone). Terms are the words
+outside base matches, anywhere in a text. Over the whole corpus, with N
+documents, c(t) documents that hold a term, c(e) that hold an entity and c(e, t)
+that hold both:
 
     information(e) = log(N / c(e))           pointwise(e, t) = log(N c(e, t) / (c(e) c(t)))
     disclosure(e, t) = pointwise / information
 
-Disclosure is 1 for a term that stands nowhere but beside the entity, and near
-0 for a word that stands everywhere. A pair seen in at least SUPPORT documents
-is removed over REMOVE and generalised over GENERALISE, wherever the term
-stands near that entity. Spans of base matches are never changed by this.
-
-What moves: the texts pass once through Python, which emits matches, nearby
-terms and combined document counts of terms; only those counts and the few
-(entity, term) pairs are shuffled.
+Disclosure is 1 for a term that stands in no document but the entity's, and near
+0 for a word that stands everywhere. Of the pairs found in at least SUPPORT
+documents, a term is removed over REMOVE and generalised over GENERALISE, by the
+largest disclosure of any entity, at all its places in all documents. Spans of
+base matches are never changed by this.
+
+What moves: the texts pass through Python three times. First come combined
+document counts of entities and terms; then combined counts of the pairs of
+entities found in SUPPORT documents, as no other pair can reach it; then base
+matches and the places of disclosing terms. The second and third pass know the
+keys they look for by a bit set of at most 4 MB, which lets too many through
+but loses none; exact joins decide, or in the third pass the disclosing terms
+themselves, which go to the workers if there are at most TRAVEL of them. Texts
+are never shuffled.
 
 Edge cases: null text is empty; every input row gives one row, repeated rows
 too (each counts as a document); null doc_id is kept; further columns are
@@ -25,7 +32,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -41,13 +47,13 @@ DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-NEAR = 5
-REACH = 160
 SUPPORT = 2
 GENERALISE = 0.6
 REMOVE = 0.85
+MOST_BITS = 25  # of an index into a bit set
+HELD = 1_000_000
+TRAVEL = 2_000_000  # disclosing terms that workers hold whole, 18 MB; more are joined
 DIGITS = re.compile(r"[0-9]")
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # on raw text, the words of ALNUM
 
 
 def luhn(digits: str) -> bool:
@@ -96,27 +102,17 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def nearby(text: str, start: int, end: int) -> list[tuple[int, int]]:
-    """Spans of the NEAR words before and after a match, at most REACH characters away."""
-    low = max(0, start - REACH)
-    before = [m.span() for m in WORD.finditer(text, low, start)]
-    if low and before and before[0][0] == low:
-        before = before[1:]
-    high = min(len(text), end + REACH)
-    after = [m.span() for m in WORD.finditer(text, end, high)]
-    if high < len(text) and after and after[-1][1] == high:
-        after = after[:-1]
-    return before[-NEAR:] + after[:NEAR]
-
-
 def entity(text: str, kind: int) -> int:
     value = text.lower() if kind == 0 else "".join(DIGITS.findall(text)) if kind > 1 else text
     return int.from_bytes(hashlib.blake2b(f"{BASE[kind]}:{value}".encode(), digest_size=8).digest(), "little", signed=True)
 
 
-SCHEMA = "doc_id long, text_hash long, spans array<int>, near array<struct<entity:long,term:long,first:int,last:int>>, term long, n long"
-_NEAR = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("first", pa.int32()), ("last", pa.int32())]))
-_FIELDS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("spans", pa.list_(pa.int32())), ("near", _NEAR), ("term", pa.int64()), ("n", pa.int64())])
+COUNTS = "what int, key long, n long"
+DOCUMENT, ENTITY, TERM = range(3)
+PAIRS = "entity long, term long, together long"
+ROWS = "doc_id long, text_hash long, spans array<int>, marks array<struct<start:int,what:long,end:int>>"
+TERMS = "array<struct<start:int,kind:int,end:int>>"
+_MARKS = pa.list_(pa.struct([("start", pa.int32()), ("what", pa.int64()), ("end", pa.int32())]))
 
 
 def combined(parts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -140,73 +136,201 @@ def document_counts(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return h[first], np.add.reduceat(pair.astype(np.int64), first)
 
 
-def scan(batches):
-    """A row for each document, and rows (term, n) of combined document counts."""
+def entities(text: str | None) -> tuple[list[tuple[int, int, int]], list[int]]:
+    """Base matches of a text and its distinct entities."""
+    found = base_spans(text) if text else []
+    return found, sorted({entity(text[s:e], k) for s, k, e in found})
+
+
+def outside(found: list[tuple[int, int, int]], first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Which of the spans first..last touch no base match."""
+    if not found:
+        return np.ones(len(first), dtype=bool)
+    starts = np.array([s for s, _, _ in found])
+    ends = np.maximum.accumulate(np.array([e for _, _, e in found]))  # ends[i]: where the matches up to the i-th reach
+    before = np.searchsorted(starts, last)
+    return (before == 0) | (ends[before - 1] <= first)
+
+
+def code_points(data: np.ndarray) -> np.ndarray:
+    """Byte -> number of code points that begin before it."""
+    return np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+
+
+def counts(batches):
+    """Rows (what, key, n): the number of documents, and in how many each entity and each term stands; keys may repeat."""
+    documents = 0
+    for what, keys, n in _counts(batches):
+        if what == DOCUMENT:
+            documents += n
+            continue
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), what, np.int32)), pa.array(keys), pa.array(n)], names=["what", "key", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array([DOCUMENT], pa.int32()), pa.array([0], pa.int64()), pa.array([documents], pa.int64())], names=["what", "key", "n"])
+
+
+def _counts(batches):
     parts, held = [], 0
     for batch in batches:
-        names = batch.schema.names
-        column = batch.column(names.index("text"))
-        all_spans, all_near, todo = [], [], []
-        for d, text in enumerate(column.to_pylist()):
-            found = base_spans(text) if text else []
-            all_spans.append([x for s in found for x in s])
-            all_near.append([])
-            ends: list[int] = []  # ends[i]: where the matches up to the i-th reach
-            for x in found:
-                ends.append(max(x[2], ends[-1] if ends else 0))
-            starts = [x[0] for x in found]
-            for s, k, e in found:
-                who = entity(text[s:e], k)
-                for a, b in nearby(text, s, e):
-                    before = bisect_left(starts, b)
-                    if not before or ends[before - 1] <= a:
-                        todo.append((d, who, a, b, text[a:b]))
-        if todo:
-            joined = Words(*text_buffer(pa.array([" ".join(x[4] for x in todo)])), ALNUM)
-            for (d, who, a, b, _), h in zip(todo, signed(joined.hashes()).tolist(), strict=True):
-                all_near[d].append({"entity": who, "term": h, "first": a, "last": b})
-        nulls = pa.nulls(batch.num_rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(names.index("doc_id")), batch.column(names.index("text_hash")), pa.array(all_spans, pa.list_(pa.int32())), pa.array(all_near, _NEAR), nulls, nulls], schema=_FIELDS)
+        column = batch.column(batch.schema.names.index("text"))
+        found = np.array([x for text in column.to_pylist() for x in entities(text)[1]], np.int64)
+        yield DOCUMENT, None, batch.num_rows
+        if len(found):
+            yield ENTITY, *np.unique(found, return_counts=True)
         for _, _, data, offsets in slices(*text_buffer(column)):
             parts.append(document_counts(Words(data, offsets, ALNUM)))
             held += len(parts[-1][0])
-            if held > 1_000_000:
+            if held > HELD:
                 parts = [combined(parts)]
-                if len(parts[0][0]) > 750_000:
-                    yield counted(*parts[0])
+                if len(parts[0][0]) > HELD * 3 // 4:
+                    yield TERM, signed(parts[0][0]), parts[0][1]
                     parts = []
                 held = sum(len(p[0]) for p in parts)
     if parts:
-        yield counted(*combined(parts))
+        keys, n = combined(parts)
+        yield TERM, signed(keys), n
+
 
+def bit_set(keys: DataFrame, column: str) -> np.ndarray:
+    """A bit set by the low bits of the keys, about 64 bits for each key up to 2^MOST_BITS."""
+    bits = min(MOST_BITS, max(10, keys.count().bit_length() + 6))
+    at = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
+    words = keys.select(F.shiftright(at, 6).alias("at"), F.expr(f"shiftleft(1L, cast({column} & 63L AS int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[words["at"].to_numpy()] = words["bits"].to_numpy()
+    return out.view(np.uint64)
 
-def counted(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    m = len(keys)
-    return pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.int32())), pa.nulls(m, _NEAR), pa.array(signed(keys)), pa.array(n)], schema=_FIELDS)
 
+def among(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys may be in a bit set."""
+    at = keys & np.uint64(len(bits) * 64 - 1)
+    return (bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
-def disclosure(pairs: DataFrame, terms: DataFrame, near: DataFrame, documents: int, support: int) -> DataFrame:
-    """entity, term, uses, disclosure of every pair that is found in at least `support` documents."""
-    entities = near.select("row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
-    known = pairs.where(F.col("together") >= support).join(entities, "entity").join(terms, "term")
+
+def pair_counts(bits: np.ndarray):
+    """Rows (entity, term, together) of the entities in a bit set: combined document counts, pairs may repeat."""
+
+    def record(pairs):
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], names=["entity", "term", "together"])
+
+    def combine(parts):
+        who, term, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((term, who))
+        who, term, n = who[order], term[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], (who[1:] != who[:-1]) | (term[1:] != term[:-1])]))
+        return who[first], term[first], np.add.reduceat(n, first)
+
+    def work(batches):
+        parts, held = [], 0
+        for batch in batches:
+            for text in batch.column(batch.schema.names.index("text")).to_pylist():
+                found, own = entities(text)
+                own = np.array(own, np.int64)
+                own = own[among(bits, own.view(np.uint64))]
+                if not len(own):
+                    continue
+                words = Words(*text_buffer(pa.array([text])), ALNUM)
+                cp = code_points(words.data)
+                terms = np.unique(signed(words.hashes())[outside(found, cp[words.start], cp[words.end])])
+                if not len(terms):
+                    continue
+                for who in own:
+                    parts.append((np.full(len(terms), who), terms, np.ones(len(terms), np.int64)))
+                    held += max(len(terms), 32)  # small arrays weigh too
+                    if held > HELD:
+                        parts = [combine(parts)]
+                        if len(parts[0][0]) > HELD * 3 // 4:
+                            yield record(parts[0])
+                            parts = []
+                        held = sum(len(p[0]) for p in parts)
+        if parts:
+            yield record(combine(parts))
+
+    return work
+
+
+def places(bits: np.ndarray, told: tuple[np.ndarray, np.ndarray] | None):
+    """A row for each document: base matches, and marks at the places outside them of the terms in a bit set.
+
+    With told, the sorted terms and their kinds, marks are those terms' only and give the kind, else the term.
+    """
+
+    def work(batches):
+        for batch in batches:
+            names = batch.schema.names
+            column = batch.column(names.index("text"))
+            found = [base_spans(text) if text else [] for text in column.to_pylist()]
+            size, out = np.zeros(batch.num_rows, np.int64), []
+            for i, _, data, offsets in slices(*text_buffer(column)):
+                words = Words(data, offsets, ALNUM)
+                h = words.hashes()
+                hit = np.flatnonzero(among(bits, h))
+                what = signed(h[hit])
+                if told and len(hit):
+                    at = np.minimum(np.searchsorted(told[0], what), len(told[0]) - 1)
+                    same = told[0][at] == what
+                    hit, what = hit[same], told[1][at[same]]
+                if not len(hit):
+                    continue
+                cp, doc = code_points(data), words.doc()[hit]
+                zero = cp[offsets[doc]]
+                first, last = cp[words.start[hit]] - zero, cp[words.end[hit]] - zero
+                good = np.ones(len(hit), dtype=bool)
+                ends = np.flatnonzero(np.append(doc[1:] != doc[:-1], True)) + 1
+                for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                    if found[i + doc[a]]:
+                        good[a:b] = outside(found[i + doc[a]], first[a:b], last[a:b])
+                size += np.bincount(i + doc[good], minlength=batch.num_rows)
+                out.append((first[good], what[good], last[good]))
+            first, what, last = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+            marks = pa.StructArray.from_arrays([pa.array(first, pa.int32()), pa.array(what, pa.int64()), pa.array(last, pa.int32())], fields=list(_MARKS.value_type))
+            marks = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), marks, type=_MARKS)
+            spans = pa.array([[x for s in f for x in s] for f in found], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(names.index("doc_id")), batch.column(names.index("text_hash")), spans, marks], names=["doc_id", "text_hash", "spans", "marks"])
+
+    return work
+
+
+def weighted(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """table, of its keys in rows, with their number of rows there as `weight`."""
+    return table.join(rows.groupBy(key).agg(F.count("*").alias("weight")), key)
+
+
+def disclosure(pairs: DataFrame, found: DataFrame, terms: DataFrame, documents: int) -> DataFrame:
+    """entity, term, disclosure of pairs (entity, term, together), by found (entity, with_entity) and terms (term, with_term)."""
+    known = staged(skew_lookup(pairs, staged(weighted(found, pairs, "entity"), "pii-entities"), ["entity"], "weight").drop("weight"), "pii-known")
+    known = skew_lookup(known, staged(weighted(terms, known, "term"), "pii-terms"), ["term"], "weight")
     n = F.lit(float(max(documents, 1)))
     information = F.log(n / F.col("with_entity"))
     pointwise = F.log(n * F.col("together") / (F.col("with_entity") * F.col("with_term")))
-    return known.select("entity", "term", "uses", F.when(information > 0, F.least(F.lit(1.0), pointwise / information)).otherwise(F.lit(0.0)).alias("disclosure"))
+    return known.select("entity", "term", F.when(information > 0, F.least(F.lit(1.0), pointwise / information)).otherwise(F.lit(0.0)).alias("disclosure"))
+
+
+def disclosing(docs: DataFrame, support: int, generalise: float, remove: float) -> DataFrame:
+    """term, kind of every term that discloses an entity."""
+    seen = staged(docs.select("text").mapInArrow(counts, COUNTS), "pii-counts")
+    count = lambda what, key, n: seen.where(F.col("what") == what).groupBy(F.col("key").alias(key)).agg(F.sum("n").alias(n))
+    documents = count(DOCUMENT, "key", "n").first()
+    found = staged(count(ENTITY, "entity", "with_entity").where(F.col("with_entity") >= support), "pii-found")
+    pairs = docs.select("text").mapInArrow(pair_counts(bit_set(found, "entity")), PAIRS)
+    pairs = staged(pairs.groupBy("entity", "term").agg(F.sum("together").alias("together")).where(F.col("together") >= support), "pii-pairs")
+    told = disclosure(pairs, found, count(TERM, "term", "with_term"), documents.n if documents else 0).where(F.col("disclosure") >= generalise)
+    kind = F.when(F.col("disclosure") >= remove, KINDS.index("remove")).otherwise(KINDS.index("generalise"))
+    return staged(told.groupBy("term").agg(F.max(kind).alias("kind")), "pii-disclosing")
 
 
 def pii_spans(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """doc_id, text_hash, spans (flat start, kind, end of base matches) and terms (start, kind, end) of each document."""
-    seen = staged(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(scan, SCHEMA), "pii")
-    rows = staged(seen.where("spans IS NOT NULL").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text_hash", "spans", "near"), "pii-rows")
-    terms = seen.where("term IS NOT NULL").groupBy("term").agg(F.sum("n").alias("with_term"))
-    near = rows.where(F.size("near") > 0).select("row", F.explode("near").alias("x")).select("row", "x.*")
-    pairs = near.groupBy("entity", "term", "row").agg(F.count("*").alias("uses")).groupBy("entity", "term").agg(F.count("*").alias("together"), F.sum("uses").alias("uses"))
-    told = staged(disclosure(pairs, terms, near, rows.count(), support).where(F.col("disclosure") >= generalise), "disclosing")
-    found = skew_lookup(near, told, ["entity", "term"], "uses")
-    kind = F.when(F.col("disclosure") >= remove, KINDS.index("remove")).otherwise(KINDS.index("generalise"))
-    by_place = found.groupBy("row", "first", "last").agg(F.max(kind).alias("kind"))
-    lists = by_place.groupBy("row").agg(F.array_sort(F.collect_list(F.struct(F.col("first").alias("start"), "kind", F.col("last").alias("end")))).alias("terms"))
+    told = disclosing(docs, support, generalise, remove)
+    texts, bits = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), bit_set(told, "term")
+    if told.count() <= TRAVEL:
+        whole = told.toArrow().sort_by("term")
+        rows = texts.mapInArrow(places(bits, (whole["term"].to_numpy(), whole["kind"].to_numpy().astype(np.int8))), ROWS)
+        rows = staged(rows, "pii-rows")  # so that no task has the workers of two steps
+        return rows.select("doc_id", "text_hash", "spans", F.col("marks").cast(TERMS).alias("terms"))
+    rows = staged(texts.mapInArrow(places(bits, None), ROWS).select(F.monotonically_increasing_id().alias("row"), "*"), "pii-rows")
+    near = rows.where(F.size("marks") > 0).select("row", F.explode("marks").alias("x")).select("row", "x.start", F.col("x.what").alias("term"), "x.end")
+    found = skew_lookup(near, staged(weighted(told, near, "term"), "pii-told"), ["term"], "weight")
+    lists = found.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("terms"))
     return rows.join(lists, "row", "left").select("doc_id", "text_hash", "spans", "terms")
 
 

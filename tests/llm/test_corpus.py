@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -123,6 +124,38 @@ def test_capitalised_names_disclose(spark):
     assert got[1] == "email:6:12,remove:16:24"
 
 
+@pytest.mark.parametrize("travel", [pii.TRAVEL, 0])
+def test_terms_disclose_over_the_whole_text(spark, monkeypatch, travel):
+    monkeypatch.setattr(pii, "TRAVEL", travel)
+    r = random.Random(5)
+    fill = lambda n: " ".join(r.choice(WORDS) for _ in range(n))
+    texts = [f"Dear Élodie, {fill(300)} write to a{i % 3}@b.cd " + fill(r.randint(0, 9)) + f" Name{i % 3}" for i in range(9)]
+    texts += [f"{fill(40)} é name1 {fill(5)}", None, "", *(fill(60) + f" e{i}@b.cd" for i in range(40))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    words, held = {}, {}
+    for d, t in enumerate(texts):
+        base = [(m.start(), m.end()) for m in re.finditer(r"\S+@b.cd", t or "")]
+        words[d] = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t or "")]
+        for w in {w for *_, w in words[d]}:
+            held.setdefault(w, set()).add(d)
+        for s, e in base:
+            held.setdefault(t[s:e], set()).add(d)
+        words[d] = [x for x in words[d] if not any(x[0] < e and s < x[1] for s, e in base)]
+    terms, kinds = {w for d in words for *_, w in words[d]}, {}
+    for e in (x for x in held if "@" in x):
+        for w in terms:
+            both = sum(any(w == x for *_, x in words[d]) for d in held[e])
+            if both >= pii.SUPPORT:
+                n, a, b = len(texts), len(held[e]), len(held[w])
+                x = math.log(n * both / (a * b)) / math.log(n / a)
+                if x >= pii.GENERALISE:
+                    kinds[w] = max(kinds.get(w, ""), "remove" if x >= pii.REMOVE else "generalise")
+    assert kinds["name0"] == "remove" and kinds["name1"] == "remove" and set(kinds) < terms
+    got = {r.doc_id: [x for x in r.spans.split(",") if x and not x.startswith("email")] for r in pii.op1(df).collect()}
+    assert got == {d: [f"{kinds[w]}:{s}:{e}" for s, e, w in words[d] if w in kinds] for d in words}
+    assert len(got[9]) == 1  # a text without the entity
+
+
 @pytest.mark.parametrize("op", [pii.op1, quality.op2, linededup.op3, substringdedup.op4, jaccard.op5, secrets.op6, pieces.op7, suffixdedup.op8, lm.op10])
 def test_every_row_once(docs, empty, op):
     assert sorted(r.doc_id for r in op(docs).select("doc_id").collect()) == [i for i, *_ in ROWS]
