@@ -1,11 +1,18 @@
 """Substring dedup over sliding sentence spans.
 
 A text is cut into sentences (after . ! ? before a blank, and at line ends).
-From every sentence a span runs over several consecutive sentences: three or
-more with at least MIN_WORDS words together, or fewer that reach LONG_WORDS
-words. Spans are compared by their words only (A-Z lowered, punctuation
-ignored). Of equal spans anywhere in the corpus the first, by smallest doc_id
-and then position, stays; every sentence covered by any other is removed.
+A span is a run of consecutive sentences: three or more with at least MIN_WORDS
+words together, or fewer that reach LONG_WORDS words. Spans are compared by
+their words only (A-Z lowered, punctuation ignored). Of equal spans anywhere in
+the corpus the first, by smallest doc_id and then position, stays; every
+sentence covered by any other is removed.
+
+Only the shortest span from each sentence and the shortest up to each sentence
+are compared. What holds a span is a span, so these cover every longer one that
+repeats, sentence by sentence: around a sentence take the smallest span inside
+the longer one; it starts or ends there, or gets too short without its first
+sentence as without its last. It repeats with the longer one and in the same
+order, so the same sentences are removed as by comparing all spans.
 
 What is shuffled: one small row per span, combined into (count, first place)
 before its shuffle; spans found once go no further. Texts are shuffled once,
@@ -61,7 +68,7 @@ def sentences(data: np.ndarray, offsets: np.ndarray):
 
 
 def spans(doc: np.ndarray, size: np.ndarray, run: int, fewest: int, long: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and last sentence (inclusive) of the span from each sentence that has one."""
+    """First and last sentence (inclusive) of the shortest span from and up to each sentence that has one."""
     n = len(doc)
     total = np.concatenate([[0], np.cumsum(size)])
     at = np.arange(n)
@@ -70,7 +77,13 @@ def spans(doc: np.ndarray, size: np.ndarray, run: int, fewest: int, long: int) -
     end = np.minimum(np.maximum(by_words, at + run), by_long)
     limit = np.searchsorted(doc, doc, side="right")
     good = (end <= limit) & (end > at)
-    return at[good], end[good] - 1
+    up_to = at + 1
+    from_words = np.searchsorted(total, total[1:] - fewest, side="right") - 1
+    from_long = np.searchsorted(total, total[1:] - long, side="right") - 1
+    begin = np.maximum(np.minimum(from_words, up_to - run), from_long)
+    more = begin >= np.searchsorted(doc, doc)
+    more[more] = end[begin[more]] != up_to[more]  # not the shortest from its first sentence, which is there already
+    return np.concatenate([at[good], begin[more]]), np.concatenate([end[good], up_to[more]]) - 1
 
 
 def occurrences(docs: DataFrame, run: int, fewest: int, long: int) -> DataFrame:
@@ -206,7 +219,6 @@ def brute(rows: list[tuple[int, str]], run: int = RUN, fewest: int = MIN_WORDS,
                 w += parts[j][2]
                 if (j - i + 1 >= run and len(w) >= fewest) or len(w) >= long:
                     seen.setdefault(w, []).append((d, i, j))
-                    break
     gone: dict = {d: set() for d in cut}
     for places in seen.values():
         for d, i, j in sorted(places)[1:]:

@@ -3,6 +3,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,6 +47,27 @@ def test_substring(docs):
     assert got == want
 
 
+def test_substring_end_of_passage(spark):
+    sized = lambda key, n: " ".join(f"{key}.{i}" for i in range(n)) + ". "
+    passage = [sized("a", 11), sized("b", 10), sized("c", 8)]  # a number is a word too: 22, 20 and 16 words
+    texts = ["".join([sized(f"x{d}", 3), *passage, sized(f"y{d}", 9)]) for d in range(4)]
+    got = {r.doc_id: r for r in substringdedup.substring_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[d]._n_removed for d in range(4)] == [0, 3, 3, 3]
+    assert got[1].kept_text == sized("x1", 3) + sized("y1", 9)
+
+
+def test_substring_every_span():
+    r = random.Random(6)
+    for _ in range(2000):
+        size = np.array([r.choice([1, 3, 6, 15, 22, 45]) for _ in range(r.randint(1, 14))])
+        doc = np.sort([r.choice([0, 2, 3]) for _ in size])
+        every = {(a, b) for a in range(len(size)) for b in range(a, len(size)) if doc[a] == doc[b] and (size[a : b + 1].sum() >= 40 or b - a >= 2 and size[a : b + 1].sum() >= 20)}
+        got = list(zip(*(x.tolist() for x in substringdedup.spans(doc, size, 3, 20, 40)), strict=True))
+        assert set(got) <= every and len(set(got)) == len(got)
+        for a, b in every:
+            assert set(range(a, b + 1)) == {k for c, d in got if a <= c and d <= b for k in range(c, d + 1)}
+
+
 def test_suffix(docs):
     want = suffixdedup.brute(PAIRS)
     assert {r.doc_id: tuple(r)[1:] for r in suffixdedup.op8(docs).collect()} == want
