@@ -110,3 +110,25 @@ def test_against_duckdb(spark, name):
     columns = [d[0] for d in want.description]
     got = catalogue.QUERIES[name](spark, SF).select(*columns).collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.fetchall()))
+
+
+@pytest.mark.parametrize("name", ["gapfill_basic", "gapfill_locf", "gapfill_locf_prev", "gapfill_interpolate", "gapfill_window"])
+def test_gapfill_over_all_events(spark, monkeypatch, name):
+    """The registered queries without their filter on users and days, by the same SQL without it."""
+    events = SF.replace("0.001", "0.01") + "/events.parquet"
+    monkeypatch.setattr(catalogue, "sparse", lambda spark, _: spark.read.parquet(events))
+    monkeypatch.setattr(catalogue, "START", datetime(2024, 1, 1))
+    monkeypatch.setattr(catalogue, "FINISH", datetime(2024, 2, 1))
+    sql = catalogue.ORACLES[name]
+    for a, b in ((" AND user_id % 5 = 0", ""), ("'2024-01-05'", "'2024-01-01'"), ("'2024-01-07'", "'2024-02-01'"), ("'2024-01-06 23:59:59'", "'2024-01-31 23:59:59'")):
+        assert a in sql
+        sql = sql.replace(a, b)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{events}'")
+    assert con.execute("SELECT count(*) FROM events WHERE ts < TIMESTAMP '2024-01-01' OR ts >= TIMESTAMP '2024-02-01'").fetchall() == [(0,)]
+    want = con.execute(sql)
+    columns = [d[0] for d in want.description]
+    want = want.fetchall()
+    assert len(want) == 31 * 144 * 5
+    got = catalogue.QUERIES[name](spark, SF).select(*columns).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
