@@ -7,28 +7,38 @@ next where a partner may belong there. In a band the universe of shingles is
 hashed into M segments, and a set's signature of a segment is the hash of its
 shingles there.
 
-Allocation by cost. Every segment counts 0, 1 or 2 towards H + 1:
+Allocation by cost. A signature's cost is the number of different sets that have
+it; one that more than COLD sets have (hot) is skipped. Contents decide, so both
+sets of a pair skip alike. Every segment counts 0, 1 or 2 towards H + 1:
 
-* Level 1. A non-empty segment counts 1 (equal contents needed), or 0 where
-  more than COLD different sets have that very content: it would cost more
-  candidates than it saves. Contents decide, so both sets of a pair skip alike.
-  A set whose count reaches H + 1 meets each of its partners in some segment.
+* Level 1. A non-empty segment counts 1 (equal contents needed), or 0 if hot. A
+  set whose count reaches H + 1 meets each of its partners in some segment.
 * Level 2. Sets for which level 1 falls short (copies in large groups, texts of
-  common passages) sign again in half as many, larger segments that count 2:
-  the contents and every one-deletion neighbour of them are indexed.
-* Level 3. Sets too small for level 2 to reach H + 1 sign single shingles.
-
-A pair is found at the first level at which one of the two does not fall
-short, or at level 3. At level 1 a pair must share as many signatures as H
-leaves equal, which drops most texts that share a passage only. Groups of level 1 have at most COLD members and give
-their pairs. Groups of levels 2 and 3 give links to leaders first: one member,
-then in each round four times as many, and only members not yet joined with the
-leader are compared, until each group is one component or all are leaders. So
-groups of near copies cost about one comparison per member and no link between
-components is lost. Every candidate is verified on both whole sets.
-
-Sets of equal content are one class from the start. Signatures travel packed,
-11 bytes each; truncated hashes can only add candidates.
+  common passages) sign again in half as many, larger segments: the contents
+  and every one-deletion neighbour of them are indexed. A segment counts 2, or 1
+  if a neighbour is hot, or 0 if its contents are.
+* Level 3. Sets for which that falls short too sign single shingles, which are
+  segments of one element.
+
+A pair is found in a cold list at the first level at which one of the two does
+not fall short. At level 1 a pair must share as many signatures as H leaves
+equal. At level 3 a pair's cold common shingles and the smaller of the two
+numbers of hot shingles must reach the overlap that the similarity needs.
+
+What is left are pairs of level 3 whose common shingles are all hot: the core of
+large groups of near copies. Both have hot shingles enough to be similar, so
+each enters only the cheapest of its hot lists that the overlap makes necessary
+(prefix order: length of list, shingle). A list isn't paired out. Its members
+are compared with its centre, the member with the largest share of hot
+shingles, which is nearest to the group's common text; then members not yet in
+the centre's component with ever more members as leaders, four times as many a
+round, until each list is one component or all its members have led. So a group
+of near copies costs about one comparison per member, texts that differ are
+kept apart by their own shingles, and no link between components is lost. Every
+candidate is verified on both whole sets.
+
+Sets of equal content are one class from the start. Signatures of level 1 travel
+packed, 11 bytes each; truncated hashes can only add candidates.
 
 Edge cases: null text and text without words have no shingles and no links;
 fewer than five words make one shingle; repeated rows and exact copies are one
@@ -44,7 +54,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, Words, constants, mix, runs, signed, skew_lookup, slices, staged, text_buffer
+from .common import NOT_SPACE, Words, blob_buffer, constants, mix, runs, signed, skew_lookup, slices, staged, text_buffer
 from .components import components, extended
 
 SHINGLE = 5
@@ -55,8 +65,6 @@ SLACK = 1.3
 BUCKET = 8 << 20
 #: Signatures that a task holds before it sends them.
 FLUSH = 1_200_000
-#: Groups of levels 2 and 3 with so few members are compared in the first round.
-SMALL = 6
 #: Each round has 2 ** STEP times the leaders of the one before.
 STEP = 2
 U64 = np.uint64
@@ -147,28 +155,30 @@ def level_1(sets: np.ndarray, first: np.ndarray):
 
 
 def level_2(sets: np.ndarray, first: np.ndarray):
-    """(set, signature) of larger segments and their one-deletion neighbours; for sets that this can't serve, of every shingle."""
+    """Columns set, band, segment, whole, spare, signature: larger segments and their one-deletion neighbours.
+
+    spare is what the set's segments in the band count in all, beyond the H + 1 that is needed.
+    """
     size = np.diff(first)
     who, band = bands(size)
     count = (most_different(2 << band) + 2) // 2
     at, seg, begin, x = segments(sets, first, who, band, count, 7)
+    none = np.zeros(0, np.int64)
     if not len(at):
-        return at, np.zeros(0, U64)
+        return none, none, none, none.astype(bool), none, np.zeros(0, U64)
     length = np.diff(np.append(begin, len(x)))
-    worth = np.bincount(at, weights=np.minimum(length, 2), minlength=len(who))
+    worth = np.bincount(at, weights=np.minimum(length, 2), minlength=len(who)).astype(np.int64)
+    spare = worth - most_different(size)[who] - 1
     with np.errstate(over="ignore"):
         value = mix(x ^ _SEED[6])
         total = np.add.reduceat(value, begin)
         base = seg.astype(U64) * _SEED[4] + band[at].astype(U64) * _SEED[7]
-        whole = mix(total + base)
         of = np.repeat(np.arange(len(at)), length)
         less = mix(total[of] - value + base[of])
     several = length[of] > 1
-    short = np.flatnonzero(worth <= most_different(size)[who])
-    entry, own = expand(sets, first, who[short])
-    with np.errstate(over="ignore"):
-        single = mix(sets[entry] + band[short][own].astype(U64) * _SEED[3] + _SEED[0])
-    return np.concatenate([who[at], who[at[of[several]]], who[short][own]]), np.concatenate([whole, less[several], single])
+    entry = np.concatenate([np.arange(len(at)), of[several]])
+    whole = np.arange(len(entry)) < len(at)
+    return who[at[entry]], band[at[entry]], seg[entry], whole, spare[at[entry]], np.concatenate([mix(total + base), less[several]])
 
 
 # ---------------------------------------------------------------- passes
@@ -319,73 +329,125 @@ def verified(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int
             good = []
             for x, y in zip(a, b, strict=True):
                 n, m = len(x) // 8, len(y) // 8
-                low = min(n, m)
-                if denominator * low < numerator * max(n, m):
-                    good.append(False)
-                    continue
                 both = np.sort(np.concatenate([np.frombuffer(x, U64), np.frombuffer(y, U64)]), kind="stable")
                 same = int((both[1:] == both[:-1]).sum())
                 good.append(denominator * same >= numerator * (n + m - same))
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(names.index(c)).filter(keep) for c in ("a", "b")], names=["a", "b"])
 
-    small = sets.select(F.col("fp").alias("a"), F.col("size").alias("na"), F.col("elements").alias("left"))
-    large = sets.select(F.col("fp").alias("b"), F.col("size").alias("nb"), F.col("elements").alias("right"))
-    sizes = pairs.join(small.select("a", "na"), "a").join(large.select("b", "nb"), "b").where(denominator * F.least("na", "nb") >= numerator * F.greatest("na", "nb"))
-    return sizes.select("a", "b").join(small.drop("na"), "a").join(large.drop("nb"), "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+    small = sets.select(F.col("fp").alias("a"), F.col("elements").alias("left"))
+    large = sets.select(F.col("fp").alias("b"), F.col("elements").alias("right"))
+    return pairs.select("a", "b").join(small, "a").join(large, "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+
 
+# ---------------------------------------------------------------- sets that level 1 can't serve
 
-def leader_groups(sets: DataFrame, buckets: int) -> DataFrame:
-    """gid, fp, members: groups of sets that share a signature of level 2 or 3; groups of equal members once per bucket."""
 
-    def sign(batches):
+def entries(sets: DataFrame, neighbours: bool) -> DataFrame:
+    """The signatures of level 2 (neighbours) or of level 3, a row each."""
+
+    def run(batches):
         for batch in batches:
             names = batch.schema.names
-            fp = np.array(batch.column(names.index("fp")).to_pylist(), dtype=np.int64).view(U64)
-            blobs = batch.column(names.index("elements")).to_pylist()
-            at = 0
-            while at < len(blobs):  # level 2 makes some 1.2 signatures of each element
-                end, size = at, 0
-                while end < len(blobs) and (end == at or size + len(blobs[end]) < 2 << 20):
-                    size += len(blobs[end])
-                    end += 1
-                first = np.concatenate([[0], np.cumsum([len(b) // 8 for b in blobs[at:end]])])
-                who, sig = level_2(np.frombuffer(b"".join(blobs[at:end]), U64), first)
-                bucket = (sig >> U64(40)).astype(np.int64) % buckets
-                order = np.argsort(bucket, kind="stable")
-                bucket, own, sig = bucket[order], fp[at:end][who][order], sig[order]
-                cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, int)
-                ends = [*cut[1:], len(bucket)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket[cut].astype(np.int32)), pa.array([sig[c:e].tobytes() + own[c:e].tobytes() for c, e in zip(cut, ends, strict=True)], pa.binary())], names=["bucket", "blob"]
-                )
-                at = end
-
-    def gather(table: pa.Table) -> pa.Table:
-        blobs = table.column("blob").to_pylist()
-        sig = np.concatenate([np.frombuffer(b, U64, len(b) // 16) for b in blobs])
-        ids = np.concatenate([np.frombuffer(b, U64, len(b) // 16, len(b) // 2) for b in blobs])
-        sig, ids, begin, size = groups(sig, ids)
-        many = size > 1
-        with np.errstate(over="ignore"):
-            name = mix(np.add.reduceat(mix(ids ^ _SEED[1]), begin) + size.astype(U64)) if len(begin) else np.zeros(0, U64)
-        _, once = np.unique(name, return_index=True)
-        chosen = np.zeros(len(begin), dtype=bool)
-        chosen[once] = True
-        chosen &= many
-        keep = np.repeat(chosen, size)
-        return pa.table({"gid": pa.array(signed(np.repeat(name, size)[keep])), "fp": pa.array(signed(ids[keep])), "members": pa.array(np.repeat(size, size)[keep].astype(np.int64))})
-
-    packed = sets.select("fp", "elements").mapInArrow(sign, "bucket int, blob binary")
-    return packed.groupBy("bucket").applyInArrow(gather, "gid long, fp long, members long").dropDuplicates(["gid", "fp"])
+            fp = batch.column(names.index("fp")).to_numpy(zero_copy_only=False)
+            for i, j, data, offsets in slices(*blob_buffer(batch.column(names.index("elements"))), 2 << 20):
+                x, first = np.frombuffer(data.tobytes(), U64), offsets // 8
+                size = np.diff(first)
+                if neighbours:
+                    who, band, segment, whole, spare, sig = level_2(x, first)
+                    more = [pa.array(band.astype(np.int32)), pa.array(segment.astype(np.int32)), pa.array(whole), pa.array(spare.astype(np.int32))]
+                else:
+                    who, sig, more = np.repeat(np.arange(j - i), size), x, []
+                yield pa.RecordBatch.from_arrays([pa.array(signed(sig)), pa.array(fp[i:j][who]), pa.array(size[who].astype(np.int32)), *more], names=columns)
+
+    columns = ["sig", "fp", "size", *(["band", "segment", "whole", "spare"] if neighbours else [])]
+    schema = "sig long, fp long, size int" + (", band int, segment int, whole boolean, spare int" if neighbours else "")
+    return staged(sets.select("fp", "elements").mapInArrow(run, schema), "entries")
+
+
+def lists(found: DataFrame) -> DataFrame:
+    """The entries whose signature several sets have, with n, how many."""
+    counts = staged(found.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1"), "counts")
+    return staged(skew_lookup(found, counts, ["sig"], "n"), "lists")
+
+
+def cold_pairs(listed: DataFrame) -> DataFrame:
+    """a < b, na, nb, shared of all pairs of sets that share signatures of at most COLD sets; shared counts those."""
+    together = listed.where(F.col("n") <= COLD).groupBy("sig").agg(F.sort_array(F.collect_list(F.struct("fp", "size"))).alias("of"))
+    pairs = F.flatten(F.transform("of", lambda y, i: F.transform(F.slice("of", 1, i), lambda x: F.struct(x["fp"].alias("a"), y["fp"].alias("b"), x["size"].alias("na"), y["size"].alias("nb")))))
+    return together.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b", "p.na", "p.nb").agg(F.count("*").alias("shared"))
+
+
+def close(numerator: int, denominator: int, one: str = "na", two: str = "nb"):
+    """Whether sizes let two sets be similar."""
+    return denominator * F.least(one, two) >= numerator * F.greatest(one, two)
+
+
+def enough(shared, numerator: int, denominator: int, one: str = "na", two: str = "nb"):
+    """Whether so many common elements make sets of these sizes similar."""
+    return (numerator + denominator) * shared >= numerator * (F.col(one) + F.col(two))
+
+
+def deeper(sets: DataFrame, numerator: int, denominator: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs a, b from cold lists of levels 2 and 3, members of hot lists: sig, fp, size, heat)."""
+    found = entries(sets, True)
+    listed = lists(found)
+    pairs = cold_pairs(listed).where(close(numerator, denominator)).select("a", "b")
+    lost = listed.where(F.col("n") > COLD).groupBy("fp", "band", "segment").agg(F.max(F.when(F.col("whole"), 2).otherwise(1)).alias("lost"))
+    lost = lost.groupBy("fp", "band").agg(F.sum("lost").alias("lost"))
+    held = found.groupBy("fp", "band").agg(F.first("spare").alias("spare")).join(lost, ["fp", "band"], "left")
+    short = staged(held.where(F.col("spare") < F.coalesce("lost", F.lit(0))).select("fp").distinct(), "short")
+    listed = lists(entries(sets.join(short, "fp", "left_semi"), False))
+    hot = listed.where(F.col("n") > COLD).groupBy("fp", "size").agg(F.sort_array(F.collect_list(F.struct("n", "sig"))).alias("by_cost")).withColumn("heat", F.size("by_cost"))
+    hot = staged(hot, "hot")
+    heat = hot.select("fp", "heat")
+    both = cold_pairs(listed).where(close(numerator, denominator))
+    both = both.join(heat.select(F.col("fp").alias("a"), F.col("heat").alias("ha")), "a", "left").join(heat.select(F.col("fp").alias("b"), F.col("heat").alias("hb")), "b", "left")
+    most = F.col("shared") + F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0)))
+    pairs = pairs.union(both.where(enough(most, numerator, denominator)).select("a", "b"))
+    reach = (F.col("heat") - F.ceil(F.col("size") * numerator / denominator) + 1).cast("int")
+    prefix = hot.withColumn("reach", reach).where("reach > 0").select("fp", "size", "heat", F.explode(F.slice("by_cost", F.lit(1), F.col("reach"))).alias("x"))
+    return pairs, staged(prefix.select("x.sig", "fp", "size", "heat"), "members")
 
 
 def leads(shift: int):
-    """Whether a member of a group leads when so many times twice as many as at first do."""
-    level = F.when(F.col("members") <= SMALL, 0).otherwise(F.greatest(F.ceil(F.log2("members")) - shift, F.lit(0))).cast("int")
+    """Whether a member of a list leads when so many times twice as many as at first do."""
+    level = F.greatest(F.ceil(F.log2("n")) - shift, F.lit(0)).cast("int")
     return F.pmod(F.xxhash64("fp"), F.pow(F.lit(2.0), level).cast("long")) == 0
 
 
+def settled(members: DataFrame, links: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """links with those between members of one hot list that components need."""
+    labels, shift, largest = components(links), 0, None
+    while largest is None or (1 << shift) < largest:
+        named = members.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+        named = staged(named, "named")
+        centre = F.max(F.struct((F.col("heat") / F.col("size")).alias("purity"), "fp", "size", "heat", "label")).alias("centre")
+        open_ = named.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), centre).where("low <> high").drop("low", "high")
+        open_ = staged(open_, "open")
+        largest = open_.agg(F.max("n")).first()[0]
+        if largest is None:
+            break
+        here = staged(skew_lookup(named, open_, ["sig"], "n"), "members")
+        lead = lambda of="": [F.col(f"{of}{x}").alias("lead" if x == "fp" else f"lead_{x}") for x in ("fp", "size", "heat", "label")]
+        if not shift:  # the member that is nearest to what its lists have in common
+            met = here.select("fp", "size", "heat", "label", *lead("centre."))
+        else:  # what led in an earlier round has met the whole list
+            before = leads(shift - STEP) if shift > STEP else F.lit(False)
+            leaders = here.where(leads(shift) & ~before).select("sig", *lead())
+            met = here.where(~before).join(leaders, "sig")
+        apart = (F.col("label") != F.col("lead_label")) & close(numerator, denominator, "size", "lead_size")
+        met = met.where(apart & enough(F.least("heat", "lead_heat"), numerator, denominator, "size", "lead_size"))
+        fresh = staged(met.select(F.least("fp", "lead").alias("a"), F.greatest("fp", "lead").alias("b")).distinct(), "pairs")
+        more = staged(verified(fresh, sets, numerator, denominator), "links")
+        if more.take(1):
+            links = links.union(more)
+            labels = extended(labels, more)
+        members = here.select("sig", "fp", "size", "heat")
+        shift += STEP
+    return links
+
+
 def similar(docs: DataFrame, k: int = SHINGLE, numerator: int = 3, denominator: int = 4) -> tuple[DataFrame, DataFrame]:
     """(documents, links): doc_id, text_hash, fp, size, class_id per row; and a, b: classes linked (those needed for components)."""
     if (numerator, denominator) != (3, 4):
@@ -410,44 +472,12 @@ def similar(docs: DataFrame, k: int = SHINGLE, numerator: int = 3, denominator:
     pairs = staged(pairs.where("a <> b").distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).union(short).distinct().join(classes, "fp")
     sets = staged(load_sets(docs, wanted, k), "elements")
-    tested = pairs
+    if not short.take(1):
+        return rows, staged(verified(pairs, sets, numerator, denominator), "links")
+    further, members = deeper(sets.join(short, "fp", "left_semi"), numerator, denominator)
+    pairs = staged(pairs.union(further).distinct(), "pairs")
     links = staged(verified(pairs, sets, numerator, denominator), "links")
-    if short.take(1):
-        members = leader_groups(sets.join(short, "fp", "left_semi"), buckets)
-        members = staged(members.join(classes.select("fp", "size"), "fp"), "members")
-        shift = 0
-        largest = members.agg(F.max("members")).first()[0] or 0
-        labels = components(links)
-        while largest > 1:
-            named = members.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-            open_ = named.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("gid")
-            open_ = staged(open_, "open")
-            if not open_.take(1):
-                break
-            here = staged(named.join(open_, "gid", "left_semi"), "members")
-            now = leads(shift)
-            if shift:  # what led in an earlier round has met the whole group
-                now = now & ~leads(shift - STEP)
-            lead = here.where(now).select("gid", F.col("fp").alias("lead"), F.col("size").alias("lead_size"), F.col("label").alias("lead_label"))
-            if shift == 0:
-                lead = lead.union(here.groupBy("gid").agg(F.min(F.struct("fp", "size", "label")).alias("x")).select("gid", "x.*")).distinct()
-                follow = here
-            else:
-                follow = here.where(~leads(shift - STEP))
-            close = denominator * F.least("size", "lead_size") >= numerator * F.greatest("size", "lead_size")
-            met = follow.join(lead, "gid").where((F.col("label") != F.col("lead_label")) & close)
-            fresh = met.select(F.least("fp", "lead").alias("a"), F.greatest("fp", "lead").alias("b")).distinct()
-            fresh = staged(fresh.join(tested, ["a", "b"], "left_anti"), "pairs")
-            more = staged(verified(fresh, sets, numerator, denominator), "links")
-            tested = tested.union(fresh)
-            if more.take(1):
-                links = links.union(more)
-                labels = extended(labels, more)
-            if (1 << shift) >= largest:
-                break
-            # groups whose members were all leaders are done; those that are one component go at the next round's start
-            members = here.where((F.col("members") > SMALL) & (F.ceil(F.log2("members")) > shift)).drop("label")
-            shift += STEP
+    links = settled(members, links, sets, numerator, denominator)
     return rows, links
 
 
