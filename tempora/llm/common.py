@@ -47,14 +47,17 @@ def skew_lookup(rows: DataFrame, table: DataFrame, keys: list[str], weight: str)
 
     table holds one row per key; its column `weight` is at least the number of
     rows with that key. Keys heavier than 1/HEAVY of all rows, of which there
-    are at most HEAVY, are joined by broadcast; the rest by shuffle, where no
-    key is heavy any more. Both inputs should be staged.
+    are at most HEAVY, are told by their hashes and joined by broadcast; the
+    rest by shuffle, where no key is heavy any more. Both inputs should be staged.
     """
     floor = max(rows.count() / HEAVY, 64)
-    heavy = F.broadcast(table.where(F.col(weight) > floor))
-    hot = rows.join(heavy, keys)
-    rest = rows.join(heavy.select(*keys), keys, "left_anti").join(table.where(F.col(weight) <= floor), keys)
-    return hot.unionByName(rest)
+    mark = F.xxhash64(*keys)
+    marks = [r.mark for r in table.where(F.col(weight) > floor).select(mark.alias("mark")).collect()]  # at most HEAVY
+    if not marks:
+        return rows.join(table, keys)
+    heavy = mark.isin(marks)
+    hot = rows.where(heavy).join(F.broadcast(table.where(heavy)), keys)
+    return hot.unionByName(rows.where(~heavy).join(table.where(~heavy), keys))
 
 
 # ---------------------------------------------------------------- kernels

@@ -28,14 +28,15 @@ numbers of hot shingles must reach the overlap that the similarity needs.
 What is left are pairs of level 3 whose common shingles are all hot: the core of
 large groups of near copies. Both have hot shingles enough to be similar, so
 each enters only the cheapest of its hot lists that the overlap makes necessary
-(prefix order: length of list, shingle). A list isn't paired out. Its members
-are compared with its centre, the member with the largest share of hot
-shingles, which is nearest to the group's common text; then members not yet in
-the centre's component with ever more members as leaders, four times as many a
-round, until each list is one component or all its members have led. So a group
-of near copies costs about one comparison per member, texts that differ are
-kept apart by their own shingles, and no link between components is lost. Every
-candidate is verified on both whole sets.
+(prefix order: length of list, shingle), and two members of a list are a pair
+only if the shingles that both have left from there on are enough (rest). A list
+isn't paired out. Its members are compared with its centre, the member with the
+largest share of hot shingles, which is nearest to the group's common text; then
+members not yet in one component with more leaders, four times as many a round,
+while that finds links; last, those outside the centre's component with all. So
+a group of near copies costs about one comparison per member, texts that differ
+are kept apart by their own shingles, and no link between components is lost.
+Every candidate is verified on both whole sets.
 
 Sets of equal content are one class from the start. Signatures of level 1 travel
 packed, 11 bytes each; truncated hashes can only add candidates.
@@ -405,9 +406,11 @@ def deeper(sets: DataFrame, numerator: int, denominator: int) -> tuple[DataFrame
     both = both.join(heat.select(F.col("fp").alias("a"), F.col("heat").alias("ha")), "a", "left").join(heat.select(F.col("fp").alias("b"), F.col("heat").alias("hb")), "b", "left")
     most = F.col("shared") + F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0)))
     pairs = pairs.union(both.where(enough(most, numerator, denominator)).select("a", "b"))
-    reach = (F.col("heat") - F.ceil(F.col("size") * numerator / denominator) + 1).cast("int")
-    prefix = hot.withColumn("reach", reach).where("reach > 0").select("fp", "size", "heat", F.explode(F.slice("by_cost", F.lit(1), F.col("reach"))).alias("x"))
-    return pairs, staged(prefix.select("x.sig", "fp", "size", "heat"), "members")
+    listed = hot.select("fp", "size", "heat", F.posexplode("by_cost").alias("at", "x")).select("x.sig", "fp", "size", "heat", (F.col("heat") - F.col("at")).alias("rest"))
+    listed = staged(listed.where(denominator * F.col("rest") >= numerator * F.col("size")), "members")
+    smallest = staged(listed.groupBy("sig").agg(F.min("size").alias("least"), F.count("*").alias("n")).where("n > 1"), "smallest")
+    members = skew_lookup(listed, smallest, ["sig"], "n").where(enough(F.col("rest"), numerator, denominator, "size", "least"))
+    return pairs, staged(members.select("sig", "fp", "size", "heat", "rest"), "members")
 
 
 def leads(shift: int):
@@ -417,35 +420,43 @@ def leads(shift: int):
 
 
 def settled(members: DataFrame, links: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """links with those between members of one hot list that components need."""
-    labels, shift, largest = components(links), 0, None
-    while largest is None or (1 << shift) < largest:
+    """links with those between members of one hot list that components need.
+
+    Rounds of leaders go on while they find links. Then members outside the
+    component of their list's centre meet all of the list, which is the rest.
+    """
+    labels, shift, last = components(links), 0, False
+    fields = ("fp", "size", "rest", "label")
+    while True:
         named = members.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
         named = staged(named, "named")
-        centre = F.max(F.struct((F.col("heat") / F.col("size")).alias("purity"), "fp", "size", "heat", "label")).alias("centre")
+        centre = F.max(F.struct((F.col("heat") / F.col("size")).alias("purity"), *fields)).alias("centre")
         open_ = named.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), centre).where("low <> high").drop("low", "high")
         open_ = staged(open_, "open")
-        largest = open_.agg(F.max("n")).first()[0]
-        if largest is None:
-            break
+        if not open_.take(1):
+            return links
         here = staged(skew_lookup(named, open_, ["sig"], "n"), "members")
-        lead = lambda of="": [F.col(f"{of}{x}").alias("lead" if x == "fp" else f"lead_{x}") for x in ("fp", "size", "heat", "label")]
-        if not shift:  # the member that is nearest to what its lists have in common
-            met = here.select("fp", "size", "heat", "label", *lead("centre."))
-        else:  # what led in an earlier round has met the whole list
+        lead = lambda of="": [F.col(f"{of}{x}").alias("lead" if x == "fp" else f"lead_{x}") for x in fields]
+        if last:
+            met = here.join(here.where("label <> centre.label").select("sig", *lead()), "sig")
+        elif shift:  # what led in an earlier round has met the whole list
             before = leads(shift - STEP) if shift > STEP else F.lit(False)
-            leaders = here.where(leads(shift) & ~before).select("sig", *lead())
-            met = here.where(~before).join(leaders, "sig")
+            met = here.where(~before).join(here.where(leads(shift) & ~before).select("sig", *lead()), "sig")
+        else:  # the member that is nearest to what its lists have in common
+            met = here.select(*fields, *lead("centre."))
         apart = (F.col("label") != F.col("lead_label")) & close(numerator, denominator, "size", "lead_size")
-        met = met.where(apart & enough(F.least("heat", "lead_heat"), numerator, denominator, "size", "lead_size"))
+        met = met.where(apart & enough(F.least("rest", "lead_rest"), numerator, denominator, "size", "lead_size"))
         fresh = staged(met.select(F.least("fp", "lead").alias("a"), F.greatest("fp", "lead").alias("b")).distinct(), "pairs")
         more = staged(verified(fresh, sets, numerator, denominator), "links")
+        links = links.union(more)
+        if last:
+            return links
         if more.take(1):
-            links = links.union(more)
             labels = extended(labels, more)
-        members = here.select("sig", "fp", "size", "heat")
+        else:
+            last = shift > 0
+        members = here.select("sig", "fp", "size", "heat", "rest")
         shift += STEP
-    return links
 
 
 def similar(docs: DataFrame, k: int = SHINGLE, numerator: int = 3, denominator: int = 4) -> tuple[DataFrame, DataFrame]:
