@@ -76,58 +76,70 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) > WINDOW, let(words, of)).otherwise(F.lit(0))
 
 
-def failed(rule: tuple[str, str, str, float, int]) -> Column:
-    name, metric, comparison, bound, fewest = rule
-    value = F.col(metric)
+def failed(rule: tuple[str, str, str, float, int], value: Column, n_words: Column) -> Column:
+    name, _, comparison, bound, fewest = rule
     broken = value < bound if comparison == "<" else value > bound
-    return F.when(F.coalesce(broken, F.lit(False)) & (F.col("n_words") >= fewest), F.lit(name))
+    return F.when(F.coalesce(broken, F.lit(False)) & (n_words >= fewest), F.lit(name))
 
 
-def quality(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, the metrics, failed_rules, base_failed and kept."""
-    whole = F.coalesce(F.col(text), F.lit(""))
+def counted(part: Column) -> dict[str, Column]:
+    """Counts of one text from a struct of text, words and lines."""
+    whole, words, lines = part["text"], part["words"], part["lines"]
     stop = [f for w in STOP_WORDS for f in (w, w.capitalize())]
-    parts = docs.withColumns(
-        {
-            "_words": F.array_remove(F.split(whole, SPACE, -1), ""),
-            "_lines": F.filter(F.split(whole, "\n", -1), lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))) > 0),
-        }
-    )
-    counts = parts.withColumns(
-        {
-            "n_words": F.size("_words").cast("long"),
-            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
-            "n_symbols": F.size(F.regexp_extract_all(whole, F.lit(SYMBOLS), F.lit(0))).cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": repeated_words(F.col("_words")).cast("long"),
-            "_n_lines": F.size("_lines"),
-            "_n_stop": F.size(F.filter("_words", lambda w: w.isin(*stop))),
-            "_n_shout": F.length(whole) - F.length(F.replace(whole, F.lit("!"), F.lit(""))),
-            "_n_bullet": F.size(F.filter("_lines", lambda x: x.rlike(r"^\s*[-*•]\s"))),
-            "_n_ellipsis": F.size(F.filter("_lines", lambda x: x.rlike(r"(\.\.\.|…)\s*$"))),
-        }
-    )
-    ratio = lambda a, b: F.col(a) / F.nullif(F.col(b), F.lit(0))
-    metrics = counts.withColumns(
-        {
-            "mean_word_length": ratio("word_chars", "n_words"),
-            "symbol_ratio": ratio("n_symbols", "n_words"),
-            "exclamation_ratio": ratio("_n_shout", "n_words"),
-            "stop_word_ratio": ratio("_n_stop", "n_words"),
-            "duplicate_line_ratio": ratio("n_dup_lines", "_n_lines"),
-            "bullet_line_ratio": ratio("_n_bullet", "_n_lines"),
-            "ellipsis_line_ratio": ratio("_n_ellipsis", "_n_lines"),
-            "base_failed": (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20),
-        }
+    return {
+        "n_words": F.size(words).cast("long"),
+        "word_chars": F.length(F.array_join(words, "")).cast("long"),
+        "n_symbols": F.size(F.regexp_extract_all(whole, F.lit(SYMBOLS), F.lit(0))).cast("long"),
+        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
+        "n_repeat_words": repeated_words(words).cast("long"),
+        "n_lines": F.size(lines),
+        "n_stop": F.size(F.filter(words, lambda w: w.isin(*stop))),
+        "n_shout": F.length(whole) - F.length(F.replace(whole, F.lit("!"), F.lit(""))),
+        "n_bullet": F.size(F.filter(lines, lambda x: x.rlike(r"^\s*[-*•]\s"))),
+        "n_ellipsis": F.size(F.filter(lines, lambda x: x.rlike(r"(\.\.\.|…)\s*$"))),
+    }
+
+
+def judged(c: Column, rules) -> Column:
+    """The operator's columns as a struct, from a struct of counts."""
+    ratio = lambda a, b: c[a] / F.nullif(c[b], F.lit(0))
+    metrics = {
+        "mean_word_length": ratio("word_chars", "n_words"),
+        "symbol_ratio": ratio("n_symbols", "n_words"),
+        "exclamation_ratio": ratio("n_shout", "n_words"),
+        "stop_word_ratio": ratio("n_stop", "n_words"),
+        "duplicate_line_ratio": ratio("n_dup_lines", "n_lines"),
+        "bullet_line_ratio": ratio("n_bullet", "n_lines"),
+        "ellipsis_line_ratio": ratio("n_ellipsis", "n_lines"),
+    }
+    base = (c["n_words"] < 10) | (c["n_repeat_words"] * 100 > c["n_words"] * 20)
+    own = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    broken = F.array_compact(F.array(*[failed(r, metrics[r[1]] if r[1] in metrics else c[r[1]], c["n_words"]) for r in rules]))
+    return F.struct(*[c[n].alias(n) for n in own], *[m.alias(n) for n, m in metrics.items()], base.alias("base_failed"), broken.alias("failed_rules"), (~base & (F.size(broken) == 0)).alias("kept"))
+
+
+def verdict(text: Column, rules=RULES) -> Column:
+    """One expression for all columns: the text is split once, wherever the optimizer puts it (a filter on kept too)."""
+    whole = F.coalesce(text, F.lit(""))
+    part = F.struct(
+        whole.alias("text"),
+        F.array_remove(F.split(whole, SPACE, -1), "").alias("words"),
+        F.filter(F.split(whole, "\n", -1), lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))) > 0).alias("lines"),
     )
-    judged = metrics.withColumn("failed_rules", F.array_compact(F.array(*[failed(r) for r in rules])))
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).drop("_words", "_lines", "_n_lines", "_n_stop", "_n_shout", "_n_bullet", "_n_ellipsis")
+    return let(let(part, lambda p: F.struct(*[v.alias(n) for n, v in counted(p).items()])), lambda c: judged(c, rules))
+
+
+def quality(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, the metrics, failed_rules, base_failed and kept."""
+    found = docs.withColumn("_verdict", verdict(F.col(text), rules))
+    fields = found.schema["_verdict"].dataType.names
+    return found.withColumns({n: F.col(f"_verdict.{n}") for n in fields}).drop("_verdict")
 
 
 def op2(docs: DataFrame) -> DataFrame:
     columns = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
-    judged = quality(docs.select("doc_id", "text"))
-    return judged.select("doc_id", *columns, F.array_join("failed_rules", ",").alias("failed_rules"))
+    found = quality(docs.select("doc_id", "text"))
+    return found.select("doc_id", *columns, F.array_join("failed_rules", ",").alias("failed_rules"))
 
 
 # word_chars is what is left of a text without the blank characters between words.
