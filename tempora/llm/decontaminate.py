@@ -13,7 +13,9 @@ one block after another inside one stage. Documents are never shuffled.
 
 Edge cases: null or empty text has no words and no hits; items without words
 match nothing; items with null id hit words but are not listed; equal items
-are each listed; every input row gives one row; further columns stay.
+are each listed; an empty benchmark hits nothing; every input row gives one row,
+repeated rows too; very long texts are matched whole, a task holding one at a
+time; further columns stay, but those named as the operator's own are replaced.
 """
 
 from __future__ import annotations

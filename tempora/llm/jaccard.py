@@ -43,7 +43,9 @@ packed, 11 bytes each; truncated hashes can only add candidates.
 
 Edge cases: null text and text without words have no shingles and no links;
 fewer than five words make one shingle; repeated rows and exact copies are one
-class; null doc_id sorts first; further columns are ignored.
+class; null doc_id sorts first; a very long text is one set, and two sets are
+compared whole in one task; an empty table gives an empty one; further columns
+are ignored.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ broadcast), and the texts once by document for reassembly.
 
 Edge cases: null or empty text is one empty line. Rows are documents: two rows
 with the same doc_id count as two, and rows with the largest doc_id all keep
-the line; null doc_id is the smallest. Further columns come through unchanged.
+the line; null doc_id is the smallest. A very long text is split whole, a task
+holding one at a time; an empty table gives an empty one. Further columns come
+through unchanged.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ its texts. Every n-gram is counted, none is pruned.
 Edge cases: null text is empty and has only its end token; null doc_id counts
 as the empty string when documents are dealt to training; repeated rows are
 scored and counted each; without training tokens all counts are 0 and
-p = 1 / (V + 1) = 1; further columns are ignored.
+p = 1 / (V + 1) = 1; a very long text is walked whole in its block; an empty
+table gives an empty one; further columns are ignored.
 """
 
 from __future__ import annotations

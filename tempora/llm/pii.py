@@ -25,7 +25,9 @@ are never shuffled.
 
 Edge cases: null text is empty; every input row gives one row, repeated rows
 too (each counts as a document); null doc_id is kept; further columns are
-ignored; a corpus without entities gives base results only.
+ignored by op1, and redact replaces one named clean_text; of overlapping spans the
+first is redacted; very long texts are worked on whole, a task holding one at a
+time; a corpus without entities gives base results only, an empty one no rows.
 """
 
 from __future__ import annotations
@@ -336,6 +338,7 @@ def pii_spans(docs: DataFrame, support: int = SUPPORT, generalise: float = GENER
 
 def redact(docs: DataFrame, **options) -> DataFrame:
     """docs with clean_text: base matches and disclosing terms replaced by [KIND], generalised ones by their shape."""
+    docs = docs.drop("clean_text", "_id", "_hash", "_spans", "_terms")
     spans = pii_spans(docs, **options).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "spans", "terms").dropDuplicates(["_id", "_hash"])
     spans = spans.select("_id", "_hash", F.col("spans").alias("_spans"), F.col("terms").alias("_terms"))
     rows = docs.join(spans, docs["doc_id"].eqNullSafe(spans["_id"]) & (F.xxhash64(docs["text"]) == spans["_hash"]), "left").drop("_id", "_hash")

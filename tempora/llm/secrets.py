@@ -11,7 +11,9 @@ pieces and matches before it end. Only texts that match are split.
 
 Edge cases: null text is empty; null owner or doc_id is an owner or repository
 of its own; every input row gives one row (repeated rows too, each a row of
-the same repository); further columns are ignored.
+the same repository); very long texts are matched whole; spans that overlap are
+all listed, by start and kind; an empty table gives an empty one; further
+columns are ignored.
 """
 
 from __future__ import annotations

@@ -18,9 +18,12 @@ What is shuffled: one small row per span, combined into (count, first place)
 before its shuffle; spans found once go no further. Texts are shuffled once,
 to meet the spans to remove.
 
-Edge cases: null or empty text has no sentences and stays empty; rows that
-share doc_id and text count as the same place, so both keep a first span; null
-doc_id is the smallest; further columns come through unchanged.
+Edge cases: null or empty text has no sentences and stays empty; a place is
+(doc_id, text, sentence), null doc_id first, so of rows that share doc_id but not
+text one keeps a repeated span, and rows that share both are one place and all
+keep it; a very long text is worked on whole, a task holding one at a time; an
+empty table gives an empty one; further columns come through unchanged, but
+those named as the operator's own are replaced.
 """
 
 from __future__ import annotations
@@ -129,7 +132,7 @@ def repeated_spans(docs: DataFrame, run: int = RUN, fewest: int = MIN_WORDS, lon
     """Every span that is not the first of its kind: doc_id, text_hash, first, last, and the first one's doc_id as source_id."""
     held = staged(occurrences(docs, run, fewest, long), "spans")
     rank = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
-    place = F.struct(rank.alias("d"), F.col("first").alias("p"))
+    place = F.struct(rank.alias("d"), F.col("text_hash").alias("h"), F.col("first").alias("p"))
     seen = held.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("origin")).where("n > 1")
     found = skew_lookup(held, staged(seen, "repeated"), ["h1", "h2"], "n")
     return found.where(place != F.col("origin")).select(rank.alias("_rank"), F.col("text_hash").alias("_hash"), "first", "last", F.col("origin.d").alias("source_id"))
@@ -137,6 +140,7 @@ def repeated_spans(docs: DataFrame, run: int = RUN, fewest: int = MIN_WORDS, lon
 
 def substring_dedup(docs: DataFrame, run: int = RUN, fewest: int = MIN_WORDS, long: int = LONG_WORDS) -> DataFrame:
     """docs with kept_text, _n_sentences, _n_removed, _n_words_removed and _sources (smallest doc_ids that hold first copies)."""
+    docs = docs.drop("kept_text", "_n_sentences", "_n_removed", "_n_words_removed", "_source", "_drops", "_rank", "_hash")
     drops = repeated_spans(docs, run, fewest, long).groupBy("_rank", "_hash").agg(F.collect_set(F.struct("first", "last")).alias("_drops"), F.min("source_id").alias("_source"))
     rows = docs.withColumns({"_rank": F.coalesce("doc_id", F.lit(-(2**63))), "_hash": F.xxhash64("text")}).join(drops, ["_rank", "_hash"], "left").drop("_rank", "_hash")
     schema = rows.drop("_drops").schema.add("kept_text", "string").add("_n_sentences", "long").add("_n_removed", "long").add("_n_words_removed", "long")

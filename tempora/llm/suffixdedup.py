@@ -24,7 +24,9 @@ Texts move twice: documents with open contexts, and all for the removal.
 Edge cases: null text is empty; texts shorter than `length` lose nothing;
 repeated rows are different places, so all their windows repeat; null doc_id
 stays null; removal is judged on the input; bytes left may not be valid UTF-8
-and are returned as binary; further columns stay.
+and are returned as binary; a very long text is worked on whole, a task holding
+one at a time; an empty table gives an empty one; further columns stay, but
+those named as the operator's own are replaced.
 """
 
 from __future__ import annotations
@@ -266,6 +268,7 @@ def judge(pieces: DataFrame, length: int) -> DataFrame:
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with _n_bytes, _n_removed, _n_spans, _kept (binary) and _removed (flat byte intervals)."""
+    docs = docs.drop("_n_bytes", "_n_removed", "_n_spans", "_kept", "_starts", "_rank", "_hash")
     rank = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
     held = staged(places(docs, length), "places").withColumn("rank", rank).drop("doc_id")
     by_context = held.groupBy("key", "context").agg(F.count("*").alias("n"), F.min(F.struct("rank", "text_hash", "first", "starts")).alias("one"))
