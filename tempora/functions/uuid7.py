@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .buckets import time_bucket
+
 
 def version(u: Column) -> Column:
     """The version, or null for other variants."""
@@ -44,3 +46,9 @@ def to_uuidv7_boundary(ts: Column) -> Column:
 
 def generate_uuidv7() -> Column:
     return to_uuidv7(F.current_timestamp())
+
+
+def bucket(width, u: Column) -> Column:
+    """time_bucket over the embedded time; a value that is not version 7 is an error, null stays null."""
+    t = timestamp(u)
+    return F.when(u.isNotNull() & t.isNull(), F.raise_error(F.concat(F.lit("not a version 7 UUID: "), u)).cast("timestamp")).otherwise(time_bucket(width, t))

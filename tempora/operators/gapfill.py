@@ -72,7 +72,7 @@ def gapfill(df: DataFrame, spec: Gapfill, aggregates: dict[str, Column], fills:
             series = F.transform(series, lambda x: x.cast(kind))
     rows = df.groupBy(real.alias(name), *keys).agg(*[a.alias(n) for n, a in aggregates.items()]).withColumn("_real", F.lit(True))
     spark = df.sparkSession
-    groups = df.select(*keys).distinct() if keys else spark.range(1).select()
+    groups = rows.select(*keys).distinct() if keys else spark.range(1).select()
     grid = groups.select(*[F.col(k).alias(f"_g_{k}") for k in keys], F.explode(series).alias("_g_bucket"))
     condition = F.col("_g_bucket") == F.col(name)
     for k in keys:
@@ -84,9 +84,10 @@ def gapfill(df: DataFrame, spec: Gapfill, aggregates: dict[str, Column], fills:
         F.coalesce("_real", F.lit(False)).alias("_real"),
     )
     order = Window.partitionBy(*keys).orderBy(name) if keys else Window.partitionBy(F.lit(0)).orderBy(name)
-    before, after = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+    before = order.rowsBetween(Window.unboundedPreceding, 0)
+    # what follows a row is what precedes it in falling order; a frame from the row to the end would be read anew for each row
+    after = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.col(name).desc()).rowsBetween(Window.unboundedPreceding, 0)
     x = F.col(name).cast("bigint") if whole else F.unix_micros(F.col(name).cast("timestamp"))
-    first = F.row_number().over(order) == 1
     for n, fill in fills.items():
         value = F.col(n)
         if fill.kind == "locf":
@@ -97,9 +98,9 @@ def gapfill(df: DataFrame, spec: Gapfill, aggregates: dict[str, Column], fills:
             out = out.withColumn(n, F.when(keep, value).otherwise(filled))
         elif fill.kind == "interpolate":
             point = F.when(F.col("_real"), F.struct(x.alias("x"), value.alias("y")))
-            a, b = F.last(point, True).over(before), F.first(point, True).over(after)
+            a, b = F.last(point, True).over(before), F.last(point, True).over(after)
             if fill.prev is not None:
-                a = F.coalesce(a, F.when(first, fill.prev))
+                a = F.coalesce(a, fill.prev)
             if fill.next is not None:
                 b = F.coalesce(b, fill.next)
             y = (a["y"] * (b["x"] - x) + b["y"] * (x - a["x"])) / (b["x"] - a["x"])

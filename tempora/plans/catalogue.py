@@ -19,8 +19,11 @@ from ..functions import aggregates as A
 from ..functions import uuid7
 from ..functions.buckets import bucket_int, bucket_range, time_bucket
 from ..operators.gapfill import Fill, Gapfill, gapfill
+from ..operators.skipscan import latest_by
 from ..sources import hypertable as H
-from .cagg import ContinuousAggregate, Definition, answer, roll_up
+from ..sources.copy import copy_from, copy_to
+from . import views
+from .cagg import ContinuousAggregate, Definition, Join, answer, roll_up, usable
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -55,7 +58,12 @@ def shared(name: str, sql: str, duck: str | None = None) -> None:
 
 
 def scratch(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tempora-")
+    """A folder for a query's tables, in the shared one of spark.checkpoint.dir; only local mode may do without."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="tempora-")
     return f"{root.rstrip('/')}/tables-{uuid.uuid4().hex}"
 
 
@@ -129,23 +137,20 @@ def histogram_value(spark, sf_dir):
 
 # ---------------------------------------------------------------- gap filling
 
-START, FINISH = datetime(2024, 1, 5), datetime(2024, 1, 7)
+START, FINISH = datetime(2024, 1, 1), datetime(2024, 2, 1)
 _GRID = """
-WITH e AS (SELECT time_bucket(INTERVAL '10 minutes', ts) AS bucket, event_type, count(*) AS n, sum(event_id) AS v, true AS re FROM events
-  WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-07' AND user_id % 5 = 0 GROUP BY 1, 2),
+WITH e AS (SELECT time_bucket(INTERVAL '5 minutes', ts) AS bucket, event_type, count(*) AS n, sum(event_id) AS v, true AS re FROM events GROUP BY 1, 2),
 k AS (SELECT DISTINCT event_type FROM e),
-g AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-05', TIMESTAMP '2024-01-06 23:59:59', INTERVAL '10 minutes')) AS bucket),
-f AS (SELECT g.bucket, k.event_type, n, v::BIGINT AS v, coalesce(re, false) AS re FROM g CROSS JOIN k LEFT JOIN e ON e.bucket = g.bucket AND e.event_type = k.event_type)
+s AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31 23:59:59', INTERVAL '5 minutes')) AS bucket),
+g AS (SELECT bucket, event_type FROM s CROSS JOIN k UNION SELECT bucket, event_type FROM e),
+f AS (SELECT g.bucket, g.event_type, n, v::BIGINT AS v, coalesce(re, false) AS re FROM g LEFT JOIN e ON e.bucket = g.bucket AND e.event_type = g.event_type)
 """
 
 
-def sparse(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "events").where((F.col("ts") >= F.lit(START).cast("timestamp_ntz")) & (F.col("ts") < F.lit(FINISH).cast("timestamp_ntz")) & (F.col("user_id") % 5 == 0))
-
-
 def filled(spark, sf_dir, fill: Fill | None) -> DataFrame:
-    spec = Gapfill("10 minutes", "ts", START, FINISH, ["event_type"])
-    return gapfill(sparse(spark, sf_dir), spec, {"n": F.count("*"), "v": F.sum("event_id")}, {"v": fill} if fill else {})
+    """All events by five minutes and type; most buckets have none."""
+    spec = Gapfill("5 minutes", "ts", START, FINISH, ["event_type"])
+    return gapfill(table(spark, sf_dir, "events"), spec, {"n": F.count("*"), "v": F.sum("event_id")}, {"v": fill} if fill else {})
 
 
 @register("gapfill_basic", _GRID + "SELECT bucket, event_type, n, v FROM f")
@@ -241,14 +246,14 @@ def update_range(spark, sf_dir):
 @register("upsert_latest", "SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'new' ELSE event_type END AS event_type FROM events")
 def upsert_latest(spark, sf_dir):
     t = event_table(spark, sf_dir)
-    H.upsert(t, table(spark, sf_dir, "events").where("event_id % 10 = 0").withColumn("event_type", F.lit("new")), ["event_id"])
+    H.upsert(t, table(spark, sf_dir, "events").where("event_id % 10 = 0").withColumn("event_type", F.lit("new")), ["event_id", "ts", "user_id"])
     return t.scan().select("event_id", "event_type")
 
 
 @register("upsert_nothing", "SELECT event_id, event_type FROM events")
 def upsert_nothing(spark, sf_dir):
     t = event_table(spark, sf_dir, table(spark, sf_dir, "events").where("event_id % 2 = 0"))
-    H.upsert(t, table(spark, sf_dir, "events"), ["event_id"], do="nothing")
+    H.upsert(t, table(spark, sf_dir, "events"), ["event_id", "ts", "user_id"], do="nothing")
     return t.scan().select("event_id", "event_type")
 
 
@@ -256,7 +261,7 @@ def upsert_nothing(spark, sf_dir):
 def merge_rows(spark, sf_dir):
     df = table(spark, sf_dir, "events")
     t = event_table(spark, sf_dir, df.where("event_id % 2 = 0"))
-    H.merge(t, df.where("event_id % 2 = 1 OR event_id % 3 = 0").withColumn("event_type", F.when(F.col("event_id") % 3 == 0, "merged").otherwise(F.col("event_type"))), ["event_id"])
+    H.merge(t, df.where("event_id % 2 = 1 OR event_id % 3 = 0").withColumn("event_type", F.when(F.col("event_id") % 3 == 0, "merged").otherwise(F.col("event_type"))), ["event_id", "ts", "user_id"])
     return t.scan().select("event_id", "event_type")
 
 
@@ -298,7 +303,9 @@ def cagg_rewrite(spark, sf_dir):
     t = event_table(spark, sf_dir)
     c = ContinuousAggregate(t, scratch(spark), hourly())
     c.refresh()
-    return answer([c], t, Definition("1 hour", ["event_type"], {"events": F.count("*")}))
+    query = Definition("1 hour", ["event_type"], {"events": F.count("*")})
+    assert usable(c, t, query)  # else the rows would answer, and the result would not show it
+    return answer([c], t, query)
 
 
 @register("asof_join", "SELECT a.event_id, b.event_id AS click_id FROM events a ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click' QUALIFY row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id DESC) = 1) b ON a.user_id = b.user_id AND a.ts >= b.ts WHERE a.event_type = 'purchase'")
@@ -316,10 +323,14 @@ shared("lag_lead", "SELECT event_id, lag(event_id) OVER w AS before, lead(event_
 shared("rank_users", "SELECT user_id, n, CAST(rank() OVER (ORDER BY n DESC) AS BIGINT) AS r, CAST(dense_rank() OVER (ORDER BY n DESC) AS BIGINT) AS d, round(percent_rank() OVER (ORDER BY n DESC), 6) AS p FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) q")
 shared("ntile_buckets", "SELECT event_id, CAST(ntile(4) OVER (PARTITION BY event_type ORDER BY value, event_id) AS BIGINT) AS q FROM events")
 shared("first_nth_value", "SELECT event_id, first_value(event_id) OVER w AS f, last_value(event_id) OVER w AS l, nth_value(event_id, 2) OVER w AS n2 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
-shared("distinct_on_latest", "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) q WHERE rn = 1")
+@register("distinct_on_latest", "SELECT DISTINCT ON (user_id) user_id, event_id, value FROM events ORDER BY user_id, ts DESC, event_id DESC")
+def distinct_on_latest(spark, sf_dir):
+    return latest_by(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "value")
+
+
 shared("top_k_recent", "SELECT event_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 20")
 shared("limit_offset", "SELECT event_id FROM events ORDER BY event_id LIMIT 10 OFFSET 15")
-shared("nulls_order", "SELECT event_id, CAST(row_number() OVER (ORDER BY CASE WHEN value > 50 THEN value END DESC NULLS FIRST, event_id) AS BIGINT) AS r FROM events")
+shared("nulls_order", "SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN value > 50 THEN value END DESC NULLS FIRST, event_id) AS BIGINT) AS r FROM events")
 shared("distinct_types", "SELECT DISTINCT event_type, user_id % 10 AS slot FROM events")
 shared("inner_join", "SELECT o.o_orderkey, c.c_custkey, n.n_name FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey")
 shared("left_join", "SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_totalprice > 200000")
@@ -330,15 +341,15 @@ shared("using_join", "SELECT a.event_id, b.event_type FROM events a JOIN (SELECT
 shared("theta_join", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey")
 shared("semi_join", "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 300000)")
 shared("in_subquery", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
-shared("anti_join", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
-shared("not_in", "SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_custkey < 20)")
+shared("anti_join", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 300000)")
+shared("not_in", "SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9700)")
 shared("lateral_latest", "SELECT c.c_custkey, l.o_orderkey FROM customer c, LATERAL (SELECT o_orderkey FROM orders o WHERE o.o_custkey = c.c_custkey ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1) l")
 shared("scalar_subquery", "SELECT c_custkey, (SELECT max(o_totalprice) FROM orders o WHERE o.o_custkey = c.c_custkey) AS best FROM customer c")
 shared("cte", "WITH big AS (SELECT o_custkey, sum(o_totalprice) AS total FROM orders GROUP BY o_custkey) SELECT o_custkey, round(total, 2) AS total FROM big WHERE total > 1000000")
 shared("recursive_cte", "WITH RECURSIVE t(n) AS (SELECT 1 AS n UNION ALL SELECT n + 1 FROM t WHERE n < 20) SELECT n FROM t")
 shared("union_all", "SELECT o_orderkey AS k FROM orders WHERE o_totalprice > 200000 UNION ALL SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O'")
 shared("union_distinct", "SELECT o_custkey AS k FROM orders UNION SELECT c_custkey FROM customer")
-shared("except_rows", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+shared("except_rows", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 300000")
 shared("intersect_rows", "SELECT c_custkey AS k FROM customer INTERSECT SELECT o_custkey FROM orders")
 shared("agg_counts", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS qty, round(avg(l_discount), 6) AS disc, min(l_shipdate) AS lo, max(l_shipdate) AS hi, min(l_linestatus) AS s FROM lineitem GROUP BY l_returnflag, l_linestatus")
 shared("rollup", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
@@ -375,3 +386,278 @@ def unnest(spark, sf_dir):
 @register("generate_series", "SELECT unnest(generate_series(TIMESTAMP '2024-01-31', TIMESTAMP '2024-02-03', INTERVAL '6 hours')) AS t")
 def generate_series(spark, sf_dir):
     return spark.sql("SELECT explode(sequence(TIMESTAMP_NTZ '2024-01-31', TIMESTAMP_NTZ '2024-02-03', INTERVAL 6 HOURS)) AS t")
+
+
+# ---------------------------------------------------------------- predicates, layout and changes of hypertables
+
+
+@register("query_predicate", "SELECT event_id FROM events WHERE (user_id IN (3, 7) OR value > 95) AND ts BETWEEN TIMESTAMP '2024-01-09' AND TIMESTAMP '2024-01-20'")
+def query_predicate(spark, sf_dir):
+    t = event_table(spark, sf_dir, stats=("event_id",))
+    return t.query("(user_id IN (3, 7) OR value > 95) AND ts BETWEEN TIMESTAMP_NTZ '2024-01-09' AND TIMESTAMP_NTZ '2024-01-20'").select("event_id")
+
+
+@register("query_now", "SELECT event_id FROM events WHERE ts < now()::TIMESTAMP - INTERVAL '1 day' AND ts >= TIMESTAMP '2024-01-28'")
+def query_now(spark, sf_dir):
+    return event_table(spark, sf_dir).query("ts < now() - INTERVAL 1 DAY AND ts >= TIMESTAMP_NTZ '2024-01-28'").select("event_id")
+
+
+@register("query_bucket", "SELECT event_id FROM events WHERE time_bucket(INTERVAL '1 day', ts) >= TIMESTAMP '2024-01-25' AND event_type <> 'view'")
+def query_bucket(spark, sf_dir):
+    return event_table(spark, sf_dir).query("event_type <> 'view'", buckets=((">=", "1 day", datetime(2024, 1, 25)),)).select("event_id")
+
+
+@register("chunk_skipping", "SELECT event_id FROM events WHERE event_id BETWEEN 2000 AND 2500")
+def chunk_skipping(spark, sf_dir):
+    return event_table(spark, sf_dir, stats=("event_id",)).query("event_id BETWEEN 2000 AND 2500").select("event_id")
+
+
+@register("joined_scan", "SELECT e.event_id FROM events e JOIN (SELECT ts FROM events WHERE event_id BETWEEN 500 AND 520) d ON e.ts = d.ts")
+def joined_scan(spark, sf_dir):
+    few = table(spark, sf_dir, "events").where("event_id BETWEEN 500 AND 520").select("ts")
+    return event_table(spark, sf_dir).joined_scan(few).join(few, "ts").select("event_id")
+
+
+@register("table_extremes", "SELECT epoch_us(min(ts)) AS lo, epoch_us(max(ts)) AS hi, min(event_id) AS first_id, max(event_id) AS last_id FROM events")
+def table_extremes(spark, sf_dir):
+    t = event_table(spark, sf_dir, stats=("event_id",))
+    return spark.createDataFrame([(*t.extremes("ts"), *t.extremes("event_id"))], "lo long, hi long, first_id long, last_id long")
+
+
+@register("ordered_latest", "SELECT event_id, ts FROM events WHERE event_type = 'click' ORDER BY ts DESC LIMIT 25")
+def ordered_latest(spark, sf_dir):
+    return event_table(spark, sf_dir).latest(25, "event_type = 'click'").select("event_id", "ts")
+
+
+def daily(spark, sf_dir, **options) -> H.Hypertable:
+    df = table(spark, sf_dir, "events")
+    return H.Hypertable.create(spark, scratch(spark), df.schema, H.by_range("ts", "1 day"), data=df, **options)
+
+
+@register("merge_then_compress", "SELECT (floor(epoch_us(ts) / 172800000000.0) * 172800000000)::BIGINT AS range_start, (floor(epoch_us(ts) / 172800000000.0) * 172800000000 + 172800000000)::BIGINT AS range_end, count(*)::BIGINT AS row_count FROM events GROUP BY 1, 2")
+def merge_then_compress(spark, sf_dir):
+    """Pairs of daily chunks become one, are compressed and hold what they held."""
+    t = daily(spark, sf_dir)
+    by: dict = {}
+    for c in t.chunks():
+        by.setdefault(c["start"] // (2 * 86_400_000_000), []).append(c)
+    for pair in by.values():
+        if len(pair) == 2:
+            t.merge_chunks([c["id"] for c in pair])
+    t.compress()
+    t.append(t.scan().where("false"))
+    own, day = t.chunk_table(), 86_400_000_000
+    whole = own.select((F.floor(F.col("range_start") / (2 * day)) * 2 * day).alias("range_start"), "rows")
+    return whole.groupBy("range_start").agg(F.sum("rows").alias("row_count")).select("range_start", (F.col("range_start") + 2 * day).alias("range_end"), "row_count")
+
+
+@register("split_then_scan", "SELECT event_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-03 06:00:00' AND ts < TIMESTAMP '2024-01-04 18:00:00'")
+def split_then_scan(spark, sf_dir):
+    t = daily(spark, sf_dir)
+    for c in t.chunks(datetime(2024, 1, 3), datetime(2024, 1, 5)):
+        t.split_chunk(c["id"])
+    t.compress()
+    return t.scan(datetime(2024, 1, 3, 6), datetime(2024, 1, 4, 18)).select("event_id", "ts")
+
+
+@register("upsert_time_key", "SELECT event_id, ts, CASE WHEN event_id % 4 = 0 AND value < 50 THEN -value ELSE value END AS value FROM events")
+def upsert_time_key(spark, sf_dir):
+    df = table(spark, sf_dir, "events")
+    t = daily(spark, sf_dir)
+    H.upsert(t, df.where("event_id % 4 = 0").withColumn("value", -F.col("value")), ["event_id", "ts"], where=F.col("old_value") < 50)
+    return t.scan().select("event_id", "ts", "value")
+
+
+@register("update_compressed", "SELECT event_id, CASE WHEN user_id = 7 THEN 'seven' ELSE event_type END AS event_type FROM events")
+def update_compressed(spark, sf_dir):
+    t = event_table(spark, sf_dir, segmentby=("event_type",), bloom=("event_type",))
+    t.compress()
+    H.update(t, {"event_type": F.lit("seven")}, "user_id = 7")
+    return t.scan().select("event_id", "event_type")
+
+
+@register("update_moves_rows", "SELECT event_id, CASE WHEN event_type = 'error' THEN ts + INTERVAL '40 days' ELSE ts END AS ts FROM events WHERE event_type = 'error' OR ts < TIMESTAMP '2024-01-05'")
+def update_moves_rows(spark, sf_dir):
+    t = daily(spark, sf_dir)
+    H.update(t, {"ts": F.expr("ts + INTERVAL 40 DAYS")}, "event_type = 'error'")
+    early, late = t.scan(high=datetime(2024, 1, 5)), t.scan(low=datetime(2024, 2, 9))
+    return early.unionByName(late).where("event_type = 'error' OR ts < TIMESTAMP_NTZ '2024-01-05'").select("event_id", "ts")
+
+
+@register("delete_whole_chunk", "SELECT event_id FROM events WHERE ts < TIMESTAMP '2024-01-10' OR ts >= TIMESTAMP '2024-01-12'")
+def delete_whole_chunk(spark, sf_dir):
+    t = daily(spark, sf_dir)
+    t.compress()
+    H.delete(t, "ts >= TIMESTAMP_NTZ '2024-01-10' AND ts < TIMESTAMP_NTZ '2024-01-12'")
+    return t.scan().select("event_id")
+
+
+@register("returning_rows", "SELECT event_id, value AS old_value, value + 1 AS new_value FROM events WHERE user_id = 7")
+def returning_rows(spark, sf_dir):
+    got = H.update(event_table(spark, sf_dir), {"value": F.col("value") + 1}, "user_id = 7", returning=True)
+    return got.select("new.event_id", F.col("old.value").alias("old_value"), F.col("new.value").alias("new_value"))
+
+
+@register("merge_delete", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN value * 2 ELSE value END AS value FROM events WHERE event_id % 3 = 0 OR event_id % 5 <> 0")
+def merge_delete(spark, sf_dir):
+    t = daily(spark, sf_dir)
+    df = table(spark, sf_dir, "events")
+    H.merge(t, df.where("event_id % 3 = 0"), ["event_id", "ts"], matched={"value": F.col("t_value") * 2}, not_matched=False)
+    H.merge(t, df.where("event_id % 3 <> 0 AND event_id % 5 = 0"), ["event_id", "ts"], matched="delete", not_matched=False)
+    return t.scan().select("event_id", "value")
+
+
+# ---------------------------------------------------------------- further continuous aggregates
+
+
+@register("cagg_join", "SELECT time_bucket(INTERVAL '1 day', ts) AS bucket, kind, count(*) AS n FROM events LEFT JOIN (SELECT DISTINCT event_type, upper(event_type) AS kind FROM events WHERE event_type <> 'view') d USING (event_type) GROUP BY 1, 2")
+def cagg_join(spark, sf_dir):
+    kinds = table(spark, sf_dir, "events").where("event_type <> 'view'").select("event_type", F.upper("event_type").alias("kind")).distinct()
+    c = ContinuousAggregate(event_table(spark, sf_dir), scratch(spark), Definition("1 day", ["kind"], {"n": F.count("*")}, joins=(Join(kinds, "event_type", "left"),)))
+    c.refresh(end=datetime(2024, 1, 15))
+    return c.view()
+
+
+@register("cagg_on_cagg", "SELECT time_bucket(INTERVAL '1 day', ts) AS bucket, event_type, count(*)::BIGINT AS n, max(value) AS high FROM events GROUP BY 1, 2")
+def cagg_on_cagg(spark, sf_dir):
+    """Late rows reach the upper aggregate by the ranges that the lower one recomputed."""
+    df = table(spark, sf_dir, "events")
+    t = event_table(spark, sf_dir, df.where("event_id % 7 <> 0"))
+    lower = ContinuousAggregate(t, scratch(spark), hourly())
+    upper = ContinuousAggregate(lower, scratch(spark), Definition("1 day", ["event_type"], {"n": F.sum("n"), "high": F.max("high")}))
+    lower.refresh(end=datetime(2024, 1, 20))
+    upper.refresh()
+    t.append(df.where("event_id % 7 = 0"))
+    lower.refresh(end=datetime(2024, 1, 21))
+    upper.refresh()
+    return upper.view()
+
+
+@register("cagg_month_tz", "SELECT timezone('America/New_York', date_trunc('month', timezone('America/New_York', timezone('UTC', ts)))) AT TIME ZONE 'UTC' AS bucket, count(*) AS n FROM events GROUP BY 1")
+def cagg_month_tz(spark, sf_dir):
+    c = ContinuousAggregate(event_table(spark, sf_dir), scratch(spark), Definition("1 month", [], {"n": F.count("*")}, timezone="America/New_York"))
+    c.refresh()
+    return c.view()
+
+
+@register("cagg_batched", _HOURLY)
+def cagg_batched(spark, sf_dir):
+    c = ContinuousAggregate(event_table(spark, sf_dir), scratch(spark), hourly())
+    c.refresh(buckets_per_batch=200, max_batches=2)
+    c.refresh(buckets_per_batch=400)
+    return c.view()
+
+
+@register("cagg_after_retention", "SELECT time_bucket(INTERVAL '1 hour', ts) AS bucket, event_type, count(*) AS n, max(value) AS high FROM events WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY 1, 2")
+def cagg_after_retention(spark, sf_dir):
+    """Buckets of dropped chunks go when their range is refreshed."""
+    t = event_table(spark, sf_dir)
+    c = ContinuousAggregate(t, scratch(spark), hourly())
+    c.refresh()
+    t.drop_chunks(older_than=datetime(2024, 1, 15))
+    c.refresh(end=datetime(2024, 1, 15), force=True)
+    return c.view()
+
+
+# ---------------------------------------------------------------- information, COPY, further functions
+
+
+@register("view_chunks", "SELECT (floor(epoch_us(ts) / 86400000000.0) * 86400000000)::BIGINT AS range_start, count(*)::BIGINT AS row_count, true AS is_compressed FROM events GROUP BY 1")
+def view_chunks(spark, sf_dir):
+    t = daily(spark, sf_dir)
+    t.compress()
+    return views.chunks(spark, [t]).select("range_start", F.col("rows").alias("row_count"), "is_compressed")
+
+
+@register("view_dimensions", "SELECT * FROM (VALUES (1, 'ts', 'timestamp_ntz', 'Time', 86400000000, NULL), (2, 'user_id', 'bigint', 'Space', NULL, 2)) v(dimension_number, column_name, column_type, dimension_type, time_interval_us, num_partitions)")
+def view_dimensions(spark, sf_dir):
+    return views.dimensions(spark, [event_table(spark, sf_dir)]).drop("hypertable", "integer_interval")
+
+
+@register("view_hypertables", "SELECT 2 AS num_dimensions, false AS compression_enabled, 'ts' AS primary_dimension, count(*)::BIGINT AS approximate_rows FROM events")
+def view_hypertables(spark, sf_dir):
+    return views.hypertables(spark, [event_table(spark, sf_dir)]).select("num_dimensions", "compression_enabled", "primary_dimension", "approximate_rows")
+
+
+@register("view_compression_settings", "SELECT * FROM (VALUES ('event_type', 1, NULL), ('user_id', NULL, 1), ('ts', NULL, 2)) v(column_name, segmentby_index, orderby_index)")
+def view_compression_settings(spark, sf_dir):
+    return views.compression_settings(spark, [event_table(spark, sf_dir, segmentby=("event_type",), orderby=("user_id",))]).drop("hypertable")
+
+
+@register("view_continuous_aggregates", "SELECT '1 hour' AS bucket_width, false AS materialized_only, epoch_us(max(time_bucket(INTERVAL '1 hour', ts))) + 3600000000 AS watermark FROM events")
+def view_continuous_aggregates(spark, sf_dir):
+    c = ContinuousAggregate(event_table(spark, sf_dir), scratch(spark), hourly())
+    c.refresh()
+    return views.continuous_aggregates(spark, [c]).select("bucket_width", "materialized_only", "watermark")
+
+
+@register("copy_in_out", "SELECT event_id, ts, user_id, event_type FROM events WHERE user_id > 50")
+def copy_in_out(spark, sf_dir):
+    path = f"{scratch(spark)}/csv"
+    copy_to(table(spark, sf_dir, "events"), path, header=True, delimiter=";")
+    t = H.Hypertable.create(spark, scratch(spark), table(spark, sf_dir, "events").schema, H.by_range("ts", "7 days"))
+    copy_from(t, path, where="user_id > 50", header=True, delimiter=";")
+    return t.scan().select("event_id", "ts", "user_id", "event_type")
+
+
+@register("chunk_append_order", "SELECT event_id, ts FROM events")
+def chunk_append_order(spark, sf_dir):
+    return daily(spark, sf_dir).ordered(descending=True).select("event_id", "ts")
+
+
+@register("attach_detach", "SELECT event_id FROM events WHERE ts < TIMESTAMP '2024-01-08' OR ts >= TIMESTAMP '2024-01-09'")
+def attach_detach(spark, sf_dir):
+    """Two chunks leave the table; one comes back where it was."""
+    t = daily(spark, sf_dir)
+    for c in t.chunks(datetime(2024, 1, 8), datetime(2024, 1, 10)):
+        paths = t.detach_chunk(c["id"])
+        if c["start"] >= t.to_internal(datetime(2024, 1, 9)):
+            t.attach_chunk(paths[0], c["start"], c["end"])
+    return t.scan().select("event_id")
+
+
+@register("prepared_statement", "SELECT event_id FROM events WHERE event_type = 'click' AND value > 50")
+def prepared_statement(spark, sf_dir):
+    return spark.sql("SELECT event_id FROM {events} WHERE event_type = :kind AND value > :least", args={"kind": "click", "least": 50}, events=table(spark, sf_dir, "events"))
+
+
+def tablesample(spark, sf_dir):
+    """A sample is the feature: one row in ten, by a fixed seed."""
+    return table(spark, sf_dir, "events").sample(0.1, seed=7).select("event_id")
+
+
+QUERIES["tablesample"] = tablesample
+
+
+@register("user_aggregate", "SELECT event_type, round(exp(avg(ln(value + 1))), 6) AS mean FROM events GROUP BY 1")
+def user_aggregate(spark, sf_dir):
+    """A caller's own aggregate in two steps, so that it is combined before the shuffle: a geometric mean."""
+    parts = table(spark, sf_dir, "events").groupBy("event_type").agg(F.sum(F.ln(F.col("value") + 1)).alias("s"), F.count("value").alias("n"))
+    return parts.select("event_type", F.round(F.exp(F.col("s") / F.col("n")), 6).alias("mean"))
+
+
+@register("bucket_uuid", "SELECT time_bucket(INTERVAL '1 hour', ts) AS bucket, count(*) AS n FROM events GROUP BY 1")
+def bucket_uuid(spark, sf_dir):
+    u = table(spark, sf_dir, "events").select(uuid7.to_uuidv7(F.col("ts")).alias("u"))
+    return u.groupBy(uuid7.bucket("1 hour", F.col("u")).cast("timestamp_ntz").alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@register("uuid7_boundary", "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-15'")
+def uuid7_boundary(spark, sf_dir):
+    u = table(spark, sf_dir, "events").withColumn("u", uuid7.to_uuidv7(F.col("ts")))
+    return u.where(F.col("u") >= uuid7.to_uuidv7_boundary(F.lit(datetime(2024, 1, 15)))).select("event_id")
+
+
+shared("avg_int", "SELECT event_type, round(avg(user_id), 6) AS a, round(stddev_samp(user_id), 5) AS s, round(var_pop(event_id), 2) AS v FROM events GROUP BY event_type")
+shared("mode_agg", "SELECT l_returnflag, mode(l_linestatus) AS m FROM lineitem WHERE l_returnflag <> 'N' OR l_linestatus = 'O' GROUP BY l_returnflag HAVING count(DISTINCT l_linestatus) = 1")
+shared("range_frame", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY event_id RANGE BETWEEN 500 PRECEDING AND CURRENT ROW) AS n FROM events")
+shared("natural_join", "SELECT user_id, n, views FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) a NATURAL JOIN (SELECT user_id, count(*) AS views FROM events WHERE event_type = 'view' GROUP BY user_id) b")
+shared("left_lateral", "SELECT c.c_custkey, l.o_orderkey FROM customer c LEFT JOIN LATERAL (SELECT o_orderkey FROM orders o WHERE o.o_custkey = c.c_custkey AND o_totalprice > 300000 ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1) l ON true")
+shared("boolean_equality", "SELECT event_id FROM (SELECT event_id, value > 50 AS high, user_id % 2 = 0 AS even FROM events) q WHERE high = even AND high IS TRUE")
+shared("any_all", "SELECT event_id FROM events WHERE array_contains(array('click', 'view'), event_type) AND NOT array_contains(array(1, 2, 3), CAST(user_id AS INT))", "SELECT event_id FROM events WHERE event_type = ANY (['click', 'view']) AND user_id <> ALL (SELECT unnest([1, 2, 3]))")
+shared("regex_functions", "SELECT event_id, regexp_replace(event_type, '[aeiou]', '*') AS r, event_type RLIKE '^(p|v)' AS m FROM events", "SELECT event_id, regexp_replace(event_type, '[aeiou]', '*', 'g') AS r, regexp_matches(event_type, '^(p|v)') AS m FROM events")
+shared("date_format", "SELECT event_id, date_format(ts, 'yyyy-MM-dd HH24') AS d FROM events".replace("HH24", "HH"), "SELECT event_id, strftime(ts, '%Y-%m-%d %H') AS d FROM events")
+shared("date_difference", "SELECT o_orderkey, CAST(datediff(DATE '2000-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS days FROM orders", "SELECT o_orderkey, date_diff('day', o_orderdate::DATE, DATE '2000-01-01') AS days FROM orders")
+shared("truncate_numbers", "SELECT event_id, CAST(value AS BIGINT) AS t, floor(value) AS f, abs(value - 50) AS a, mod(user_id, 7) AS m FROM events", "SELECT event_id, trunc(value)::BIGINT AS t, floor(value)::BIGINT AS f, abs(value - 50) AS a, user_id % 7 AS m FROM events")
+shared("json_contains", "SELECT event_id FROM events WHERE CAST(get_json_object(props, '$.k') AS INT) = 3", "SELECT event_id FROM events WHERE json_contains(props, '{\"k\": 3}')")
+shared("epoch_conversion", "SELECT event_id, unix_micros(CAST(ts AS TIMESTAMP)) AS us, timestamp_micros(unix_micros(CAST(ts AS TIMESTAMP))) = CAST(ts AS TIMESTAMP) AS same FROM events", "SELECT event_id, epoch_us(ts) AS us, true AS same FROM events")
