@@ -179,6 +179,24 @@ def gapfill_interpolate(spark, sf_dir):
     return filled(spark, sf_dir, Fill("interpolate"))
 
 
+@register("gapfill_lookup", _GRID + "SELECT * FROM (" + _LINE.replace(", p AS", "WITH p AS", 1) + ") WHERE bucket >= TIMESTAMP '2024-01-10' AND bucket < TIMESTAMP '2024-01-20'")
+def gapfill_lookup(spark, sf_dir):
+    """Ten days, whose open ends meet the last bucket before them and the first one after them, looked up by type."""
+    events, low, high = table(spark, sf_dir, "events"), datetime(2024, 1, 10), datetime(2024, 1, 20)
+    ts, aggregates = F.col("ts"), {"n": F.count("*"), "v": F.sum("event_id")}
+    start, finish = (F.lit(t).cast("timestamp_ntz") for t in (low, high))
+    outside = events.where((ts < start) | (ts >= finish)).select(F.col("event_type").alias("kind"), "ts", "event_id")
+    buckets = outside.groupBy("kind", time_bucket("5 minutes", ts, "timestamp_ntz").alias("b")).agg(aggregates["v"].alias("y"))
+    point = F.struct(F.unix_micros(F.col("b").cast("timestamp")).alias("x"), "y")
+
+    def record(side, pick):
+        ends = buckets.where(side).groupBy("kind").agg(pick(point, F.col("b")).alias("r"))
+        return ends.where(F.col("kind") == F.col("event_type").outer()).select("r").scalar()
+
+    fill = Fill("interpolate", prev=record(F.col("b") < start, F.max_by), next=record(F.col("b") >= finish, F.min_by))
+    return gapfill(events.where((ts >= start) & (ts < finish)), Gapfill("5 minutes", "ts", low, high, ["event_type"]), aggregates, {"v": fill})
+
+
 @register("gapfill_window", _GRID + ", l AS (SELECT bucket, event_type, last_value(v IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY bucket) AS v FROM f) SELECT *, lag(v) OVER (PARTITION BY event_type ORDER BY bucket) AS before FROM l")
 def gapfill_window(spark, sf_dir):
     out = filled(spark, sf_dir, Fill("locf")).drop("n")
