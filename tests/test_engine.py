@@ -128,6 +128,18 @@ def test_gapfill_over_all_events(spark, name):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
 
 
+def test_gapfill_lookup(spark):
+    """Ten days of sf0.01 with records looked up on either side equal those days of a filling of the whole month."""
+    sf = SF.replace("0.001", "0.01")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
+    want = con.execute(catalogue.ORACLES["gapfill_lookup"])
+    columns = [d[0] for d in want.description]
+    got = catalogue.QUERIES["gapfill_lookup"](spark, sf).select(*columns).collect()
+    assert len(got) == 10 * 288 * 5 and all(r.v is not None for r in got)
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.fetchall()))
+
+
 @pytest.mark.parametrize("name", ["query_predicate", "merge_then_compress", "split_then_scan", "upsert_time_key", "update_moves_rows", "delete_whole_chunk", "merge_delete", "cagg_on_cagg", "cagg_join", "attach_detach", "copy_in_out", "distinct_on_latest"])
 def test_tables_against_duckdb(spark, name):
     test_against_duckdb(spark, name)
