@@ -1,19 +1,29 @@
-"""LM scoring with a weighted backoff automaton over bigrams (Witten-Bell smoothing).
+"""LM scoring with a weighted backoff automaton over n-grams (Dirichlet smoothing).
 
-States are the contexts: one per word seen in training, one for the start of a
-text, and the root (no context). From state u an arc for w carries
-log10((c(u, w) + T(u) p(w)) / (c(u) + T(u))), T(u) being the number of different
-words seen after u; where there is none, the failure arc to the root carries
-log10(T(u) / (c(u) + T(u))) and the root's arc log10 p(w), with
-p(w) = (c(w) + 1) / (N + V + 1). A text is walked once from left to right: the
-state after w is w's, and weights are added up.
+States are the histories of up to ORDER - 1 tokens seen in training, the start
+of a text being one of them, and the root (no history). With c the training
+counts and h' a history h without its first token,
+
+    p(w | h) = (c(h, w) + MU p(w | h')) / (c(h) + MU),   p(w) = (c(w) + 1) / (N + V + 1).
+
+From state h an arc for w carries log10 p(w | h) where (h, w) was seen; where it
+was not, the failure arc to h' carries log10 (MU / (c(h) + MU)), and so on down
+to the root, which has an arc for every w. A text is walked once from left to
+right: the state carried to a token is the longest history that was seen, as
+many failure arcs are taken as there is no arc for the token, and weights are
+added up. This smoothing needs no count but those of n-grams themselves (that
+of a history is its count as an n-gram), so no history has to be gathered in
+one place, however many continuations it has.
 
 Nothing grows with the corpus in any one place. Texts are dealt into blocks of
-about BLOCK bytes by a hash. Each block sends its distinct words and bigrams
-with training counts, packed by hash bucket; each bucket adds them up over all
-blocks and sends back, to each block and in the block's own order, the counts
-of the whole corpus; the block then builds its part of the automaton and walks
-its texts. Every n-gram is counted, none is pruned.
+about BLOCK bytes by a hash. Each block sends its distinct n-grams with their
+training counts to buckets, which are ranges of n-gram hashes; each bucket adds
+them up over all blocks and sends back, to each block and in the block's own
+order, the counts of the whole corpus, with its own share of N and V; the block
+then builds its part of the automaton and walks its texts. An n-gram is sent
+once a block, so a common one takes no more room than a rare one. Every n-gram
+is counted, none is pruned. N-grams are told by their length and 58 bits of a
+hash.
 
 Edge cases: null text is empty and has only its end token; null doc_id counts
 as the empty string when documents are dealt to training; repeated rows are
@@ -31,11 +41,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, Words, signed, slices, text_buffer
+from .common import NOT_SPACE, Words, constants, mix, slices, text_buffer
 
+ORDER = 3
+#: Weight of the shorter history's distribution, in tokens; of 1, 4, 16, 64 and 256 the best on held-out texts.
+MU = 64.0
 BLOCK = 12 << 20
+#: Bits of an n-gram's key: a hash, and two for the length less one.
+BITS = 60
 U64 = np.uint64
 START, END = U64(0xA5A5_0F0F_1234_5601), U64(0x5A5A_F0F0_4321_6503)
+TIMES = constants(307, 5)
+
+
+def keyed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Keys of n-grams of k + 1 tokens."""
+    return (hashes >> U64(66 - BITS) << U64(2)) | U64(k)
+
+
+#: Hash of the start of a text, which is a history but no token.
+with np.errstate(over="ignore"):
+    ORIGIN = mix(np.array([START]) * TIMES[0])
 
 
 def training(doc_id) -> object:
@@ -54,185 +80,219 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in order and each entry's place among them: one sort of top bits and positions packed together."""
+    n = len(keys)
+    bits = max(n.bit_length(), 64 - BITS)
+    packed = keys >> U64(bits - (64 - BITS)) << U64(bits)
+    packed |= np.arange(n, dtype=U64)
+    packed.sort()
+    order = (packed & U64((1 << bits) - 1)).astype(np.int64)
+    k, top = keys[order], packed >> U64(bits)
+    for i in np.flatnonzero(k[1:] < k[:-1]).tolist():  # different keys with the same top bits
+        x, y = np.searchsorted(top, top[i]), np.searchsorted(top, top[i], side="right")
+        by = np.argsort(k[x:y], kind="stable")
+        order[x:y], k[x:y] = order[x:y][by], k[x:y][by]
+    fresh = np.append(True, k[1:] != k[:-1])
+    place = np.empty(n, np.int64)
+    place[order] = np.cumsum(fresh) - 1
+    return k[fresh], place
+
+
 class Block:
-    """A block's texts as tokens with contexts, its distinct words and bigrams in (bucket, hash) order."""
-
-    def __init__(self, column: pa.Array, train: np.ndarray, buckets: int):
-        self.token, self.first = tokens(column)
-        context = np.empty_like(self.token)
-        context[1:] = self.token[:-1]
-        context[self.first[:-1]] = START
-        counted = np.repeat(train, np.diff(self.first))
-        order = np.lexsort((self.token, context))
-        u, w = context[order], self.token[order]
-        fresh = np.concatenate([[True], (u[1:] != u[:-1]) | (w[1:] != w[:-1])])
-        begin = np.flatnonzero(fresh)
-        pair_count = np.add.reduceat(counted[order].astype(np.int64), begin)
-        u, w = u[begin], w[begin]
-        words = np.unique(np.concatenate([self.token, u]))
-        word_count = np.bincount(np.searchsorted(words, self.token), weights=counted, minlength=len(words)).astype(np.int64)
-        bucket = (words >> U64(40)).astype(np.int64) % buckets
-        by = np.argsort(bucket, kind="stable")
-        place = np.empty(len(words), np.int64)
-        place[by] = np.arange(len(words))
-        self.words, self.word_count, self.bucket = words[by], word_count[by], bucket[by]
-        owner = place[np.searchsorted(words, u)]
-        by_pair = np.argsort(owner, kind="stable")
-        self.owner, self.next, self.pair_count = owner[by_pair], w[by_pair], pair_count[by_pair]
-        rank = np.empty(len(u), np.int64)
-        rank[by_pair] = np.arange(len(u))
-        self.pair_of = np.empty(len(self.token), np.int64)
-        self.pair_of[order] = rank[np.cumsum(fresh) - 1]
-        self.word_of = place[np.searchsorted(words, self.token)]
-
-    def parts(self):
-        """(bucket, first word, end word, first bigram, end bigram) of every bucket that has words."""
-        cut = np.flatnonzero(np.concatenate([[True], self.bucket[1:] != self.bucket[:-1]]))
-        ends = np.append(cut[1:], len(self.bucket))
-        return zip(self.bucket[cut].tolist(), cut.tolist(), ends.tolist(), np.searchsorted(self.owner, cut).tolist(), np.searchsorted(self.owner, ends).tolist(), strict=True)
-
-
-def planes(x: np.ndarray) -> bytes:
-    """Counts as 32-bit numbers, first all lowest bytes, then all second ones, and so on: small counts compress well."""
-    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
-
-
-def unplaned(blob: bytes, n: int, at: int = 0) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(blob, np.uint8, 4 * n, at).reshape(4, n).T).reshape(-1).view("<u4").astype(np.int64)
-
-
-def pack(b: Block) -> tuple[list[int], list[bytes]]:
+    """A block's texts as tokens, and its distinct n-grams in the order of their keys.
+
+    gram[k] holds, for every token, the place of the n-gram of k + 1 tokens that
+    ends there, history[k] that of its first k tokens; -1 where the text (with
+    its start) has fewer.
+    """
+
+    def __init__(self, column: pa.Array, train: np.ndarray, order: int):
+        token, self.first = tokens(column)
+        begin = self.first[:-1]
+        counted = np.repeat(train, np.diff(self.first)).astype(np.int64)
+        with np.errstate(over="ignore"):
+            hashes, whole = [mix(token * TIMES[0])], [np.ones(len(token), bool)]
+            for k in range(1, order):
+                before, inside = np.roll(hashes[-1], 1), np.roll(whole[-1], 1)
+                before[begin], inside[begin] = ORIGIN[0], k == 1
+                hashes.append(mix(before * TIMES[k] + token))
+                whole.append(inside)
+        keys = [keyed(h[w], k) for k, (h, w) in enumerate(zip(hashes, whole, strict=True))]
+        self.keys, place = distinct(np.concatenate([*keys, keyed(ORIGIN, 0)]))
+        weights = np.concatenate([*[counted[w] for w in whole], [np.count_nonzero(train)]])
+        self.count = np.bincount(place, weights=weights, minlength=len(self.keys)).astype(np.int64)
+        self.gram, self.history, at = [], [np.full(len(token), -1)], 0
+        for w in whole:
+            own = np.full(len(token), -1)
+            own[w] = place[at : at + np.count_nonzero(w)]
+            at += np.count_nonzero(w)
+            self.gram.append(own)
+            before = np.roll(own, 1)
+            before[begin] = place[-1] if len(self.gram) == 1 else -1
+            self.history.append(before)
+
+    def parts(self, buckets: int):
+        """(bucket, first key of its range, keys in the range, first n-gram, end n-gram) of every bucket."""
+        low = floors(buckets)
+        cut = np.append(np.searchsorted(self.keys, low[:-1]), len(self.keys)).tolist()
+        return zip(range(buckets), low[:-1], np.diff(low).tolist(), cut, cut[1:], strict=False)
+
+
+def floors(buckets: int) -> np.ndarray:
+    """First key of every bucket, and the end of the last."""
+    whole, rest = divmod(1 << BITS, buckets)
+    b = np.arange(buckets + 1, dtype=U64)
+    return b * U64(whole) + (b * U64(rest) + U64(buckets - 1)) // U64(buckets)
+
+
+def pack_keys(x: np.ndarray, room: int) -> bytes:
+    """Different ascending numbers under room, by Elias and Fano: low bits as they are, high ones as gaps in unary."""
+    n = len(x)
+    if not n:
+        return bytes(8)
+    low = max((room // n).bit_length() - 1, 0)
+    whole, rest = divmod(low, 8)
+    tail = x.astype("<u8").view(np.uint8).reshape(n, 8)
+    unary = np.zeros(n + (room >> low) + 1, np.uint8)
+    unary[(x >> U64(low)).astype(np.int64) + np.arange(n)] = 1
+    bits = np.unpackbits(tail[:, whole : whole + 1], axis=1)[:, 8 - rest :]
+    return b"".join((np.array([n, low], np.uint32).tobytes(), tail[:, :whole].tobytes(), np.packbits(bits).tobytes(), np.packbits(unary).tobytes()))
+
+
+def unpack_keys(blob: bytes, room: int) -> tuple[np.ndarray, int]:
+    """(the numbers, bytes read)."""
+    n, low = np.frombuffer(blob, np.uint32, 2).tolist()
+    if not n:
+        return np.zeros(0, U64), 8
+    whole, rest = divmod(low, 8)
+    x = np.zeros((n, 8), np.uint8)
+    x[:, :whole] = np.frombuffer(blob, np.uint8, n * whole, 8).reshape(n, whole)
+    at = 8 + n * whole
+    if rest:
+        size = -(-n * rest // 8)
+        bits = np.unpackbits(np.frombuffer(blob, np.uint8, size, at), count=n * rest).reshape(n, rest)
+        x[:, whole] = np.packbits(bits, axis=1)[:, 0] >> (8 - rest)
+        at += size
+    size = -(-(n + (room >> low) + 1) // 8)
+    high = np.flatnonzero(np.unpackbits(np.frombuffer(blob, np.uint8, size, at))) - np.arange(n)
+    return x.view("<u8")[:, 0] | (high.astype(U64) << U64(low)), at + size
+
+
+def planes(x: np.ndarray, width: int) -> bytes:
+    """Counts of width bytes, compressed: first all lowest bytes, then all second ones, and so on."""
+    return pa.compress(np.ascontiguousarray(x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T), "zstd", asbytes=True)
+
+
+def unplaned(blob: bytes, n: int, width: int) -> np.ndarray:
+    raw = pa.decompress(blob, n * width, "zstd")
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, n).T).reshape(-1).view(f"<u{width}").astype(np.int64)
+
+
+def pack(b: Block, buckets: int) -> tuple[list[int], list[bytes]]:
     names, blobs = [], []
-    for bucket, x, y, p, q in b.parts():
-        head = np.array([y - x, q - p], np.uint32)
-        steps = np.diff(b.owner[p:q], prepend=x)
+    for bucket, low, room, x, y in b.parts(buckets):
         names.append(bucket)
-        blobs.append(b"".join((head.tobytes(), b.words[x:y].tobytes(), b.next[p:q].tobytes(), planes(b.word_count[x:y]), planes(steps), planes(b.pair_count[p:q]))))
+        blobs.append(pack_keys(b.keys[x:y] - low, room) + planes(b.count[x:y], 4))
     return names, blobs
 
 
-def unpack(blob: bytes):
-    n, m = np.frombuffer(blob, np.uint32, 2).tolist()
-    at = 8 + 8 * (n + m)
-    words, follow = np.frombuffer(blob, U64, n, 8), np.frombuffer(blob, U64, m, 8 + 8 * n)
-    return words, follow, unplaned(blob, n, at), np.cumsum(unplaned(blob, m, at + 4 * n)), unplaned(blob, m, at + 4 * (n + m))
-
-
-def add_up(table: pa.Table) -> pa.Table:
-    """One bucket: corpus counts for every block's entries, in the block's order: words' c, c as context, T; bigrams' c."""
-    parts = [unpack(b) for b in table.column("blob").to_pylist()]
-    words, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    count = np.bincount(inverse, weights=np.concatenate([p[2] for p in parts]), minlength=len(words)).astype(np.int64)
-    starts = np.cumsum([0, *[len(p[0]) for p in parts]])
-    owner = np.concatenate([inverse[s : s + len(p[0])][p[3]] for s, p in zip(starts, parts, strict=False)])
-    follow, n = np.concatenate([p[1] for p in parts]), np.concatenate([p[4] for p in parts]).astype(np.int64)
-    order = np.lexsort((follow, owner))
-    o, f = owner[order], follow[order]
-    fresh = np.concatenate([[True], (o[1:] != o[:-1]) | (f[1:] != f[:-1])]) if len(o) else np.zeros(0, bool)
-    begin = np.flatnonzero(fresh)
-    total = np.add.reduceat(n[order], begin) if len(begin) else np.zeros(0, np.int64)
-    pair = np.empty(len(o), np.int64)
-    pair[order] = total[np.cumsum(fresh) - 1] if len(o) else 0
-    context = np.bincount(o[begin], weights=total, minlength=len(words)).astype(np.int64)
-    kinds = np.bincount(o[begin], weights=total > 0, minlength=len(words)).astype(np.int64)
-    back, at = [], 0
-    for s, p in zip(starts, parts, strict=False):
-        mine = inverse[s : s + len(p[0])]
-        back.append(planes(np.concatenate([count[mine], context[mine], kinds[mine], pair[at : at + len(p[1])]])))
-        at += len(p[1])
+def add_up(table: pa.Table, buckets: int) -> pa.Table:
+    """One bucket: its training tokens, how many differ, and the corpus counts of every block's n-grams, in the block's order."""
+    bucket = table.column("bucket")[0].as_py()
+    room = int(np.diff(floors(buckets)[bucket : bucket + 2])[0])
+    keys, counts = [], []
+    for blob in table.column("blob").to_pylist():
+        own, at = unpack_keys(blob, room)
+        keys.append(own)
+        counts.append(unplaned(blob[at:], len(own), 4))
+    base = U64(int(floors(buckets)[bucket]))
+    every, place = distinct(np.concatenate(keys) + base)
+    total = np.bincount(place, weights=np.concatenate(counts), minlength=len(every)).astype(np.int64)  # exact to 2^53
+    words = total[((every & U64(3)) == 0) & (every != keyed(ORIGIN, 0)[0])]
+    head = np.array([words.sum(), np.count_nonzero(words)], np.int64).tobytes()
+    ends = np.cumsum([0, *map(len, keys)])
+    back = [head + planes(total[place[i:j]], 8) for i, j in zip(ends, ends[1:], strict=False)]
     return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "counts": pa.array(back, pa.binary())})
 
 
 class Automaton:
-    """A block's part of the automaton: weights of the root's arcs, of failure arcs and of bigram arcs."""
-
-    def __init__(self, block: Block, blobs: dict[int, bytes], n: int, v: int):
-        words, pairs = len(block.words), len(block.next)
-        self.count, context, kinds, pair = np.zeros(words, np.int64), np.zeros(words, np.int64), np.zeros(words, np.int64), np.zeros(pairs, np.int64)
-        for bucket, x, y, p, q in block.parts():
-            w = y - x
-            got = unplaned(blobs[bucket], 3 * w + q - p)
-            self.count[x:y], context[x:y], kinds[x:y], pair[p:q] = got[:w], got[w : 2 * w], got[2 * w : 3 * w], got[3 * w :]
-        unit = (self.count + 1) / (n + v + 1)
-        self.root = np.log10(unit)
-        seen = context > 0
-        mass = np.where(seen, context + kinds, 1)
-        self.failure = np.where(seen, np.log10(np.where(seen, kinds, 1) / mass), 0.0)
-        self.has_arc = pair > 0
-        self.pair, self.kinds, self.mass, self.unit = pair, kinds, mass, unit
+    """A block's part of the automaton: weights of arcs and of failure arcs by n-gram, 0 counts having neither.
+
+    blobs has every bucket's counts, so N is the sum of their tokens and V that of their different ones.
+    """
+
+    def __init__(self, block: Block, blobs: dict[int, bytes], buckets: int, mu: float):
+        self.count = np.zeros(len(block.keys), np.int64)
+        for bucket, _, _, x, y in block.parts(buckets):
+            self.count[x:y] = unplaned(blobs[bucket][16:], y - x, 8)
+        heads = np.array([np.frombuffer(b, np.int64, 2) for b in blobs.values()]).sum(axis=0)
+        self.tokens, self.words = int(heads[0]), int(heads[1])
+        unit = (self.count + 1) / (self.tokens + self.words + 1)
+        self.root, self.failure, self.seen = np.log10(unit), np.log10(mu / (self.count + mu)), self.count > 0
+        chance = unit  # of an n-gram's last token after the others; an n-gram seen has its shorter ones seen
+        for k in range(1, len(block.gram)):
+            some = np.flatnonzero(block.gram[k] >= 0)
+            gram, one = np.unique(block.gram[k][some], return_index=True)
+            one = some[one]
+            chance[gram] = (self.count[gram] + mu * chance[block.gram[k - 1][one]]) / (self.count[block.history[k][one]] + mu)
+        self.arc = np.log10(chance)
 
     def walk(self, block: Block) -> np.ndarray:
-        """Weight of every step: from the state of the token before it, by its arc or by failure to the root."""
-        pair, word = block.pair_of, block.word_of
-        state = block.owner[pair]
-        smoothed = (self.pair[pair] + self.kinds[state] * self.unit[word]) / self.mass[state]
-        return np.where(self.has_arc[pair], np.log10(np.where(self.has_arc[pair], smoothed, 1.0)), self.failure[state] + self.root[word])
-
-
-def vocabulary(docs: DataFrame) -> tuple[int, int]:
-    """(N, V): tokens and distinct tokens of the training texts; each task sends its distinct tokens once."""
-
-    def run(batches):
-        parts, held, total = [], 0, 0
-        for batch in batches:
-            names = batch.schema.names
-            keep = batch.column(names.index("train"))
-            token, _ = tokens(batch.column(names.index("text")).filter(keep))
-            total += len(token)
-            parts.append((np.unique(token), np.zeros(0, np.int64)))
-            held += len(parts[-1][0])
-            if held > 4_000_000:
-                parts = [(np.unique(np.concatenate([p[0] for p in parts])), parts[0][1])]
-                held = len(parts[0][0])
-                if held > 3_000_000:
-                    yield rows(parts[0][0], 0)
-                    parts, held = [], 0
-        yield rows(np.unique(np.concatenate([p[0] for p in parts])) if parts else np.zeros(0, U64), total)
-
-    def rows(token, total):
-        return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(signed(token)), pa.nulls(1, pa.int64())]), pa.array([0] * len(token) + [total])], names=["token", "n"])
-
-    found = docs.select("text", "train").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    got = found.agg(F.count("token").alias("v"), F.sum("n").alias("n")).first()
-    return got.n or 0, got.v or 0
-
-
-def score(docs: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
+        """Weight of every step, from the state that the token before it leads to."""
+        weight, open_ = np.zeros(len(block.gram[0])), np.arange(len(block.gram[0]))
+        for k in range(len(block.gram) - 1, 0, -1):
+            state, gram = block.history[k][open_], block.gram[k][open_]
+            real = (state >= 0) & self.seen[state]  # else the state carried is a shorter history
+            arc = real & self.seen[gram]
+            weight[open_[arc]] += self.arc[gram[arc]]
+            failed = real & ~arc
+            weight[open_[failed]] += self.failure[state[failed]]
+            open_ = open_[~arc]
+        weight[open_] += self.root[block.gram[0][open_]]
+        return weight
+
+
+def score(docs: DataFrame, order: int = ORDER, mu: float = MU, block_bytes: int = BLOCK) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs (doc_id, text)."""
+    if not 1 <= order <= 4:
+        raise ValueError("order must be 1 to 4")
     spark = docs.sparkSession
     size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(math.ceil(size / block_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = docs.select("doc_id", "text", training(F.col("doc_id")).alias("train"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int").alias("block"))
-    n, v = vocabulary(dealt)
 
     def read(table: pa.Table) -> Block:
         text = table.column("text").combine_chunks()
-        return Block(text, table.column("train").to_numpy(zero_copy_only=False), n_blocks)
+        return Block(text, table.column("train").to_numpy(zero_copy_only=False), order)
 
     def send(table: pa.Table) -> pa.Table:
-        names, blobs = pack(read(table))
+        names, blobs = pack(read(table), n_blocks)
         return pa.table({"block": pa.array([table.column("block")[0].as_py()] * len(names), pa.int32()), "bucket": pa.array(names, pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
+    def total(table: pa.Table) -> pa.Table:
+        return add_up(table, n_blocks)
+
     def walk(left: pa.Table, right: pa.Table) -> pa.Table:
         block = read(left)
         blobs = dict(zip(right.column("bucket").to_pylist(), right.column("counts").to_pylist(), strict=True))
-        automaton = Automaton(block, blobs, n, v)
+        automaton = Automaton(block, blobs, n_blocks, mu)
         begin = block.first[:-1]
-        known = automaton.count[block.word_of] > 0
+        known = automaton.count[block.gram[0]] > 0
         return pa.table(
             {
                 "doc_id": left.column("doc_id"),
                 "held_out": pa.array(~left.column("train").to_numpy(zero_copy_only=False)),
                 "n_tokens": pa.array(np.diff(block.first)),
                 "n_known": pa.array(np.add.reduceat(known.astype(np.int64), begin)),
-                "train_tokens": pa.array(np.full(len(begin), n)),
-                "base_score": pa.array(np.add.reduceat(automaton.root[block.word_of], begin)),
+                "train_tokens": pa.array(np.full(len(begin), automaton.tokens)),
+                "base_score": pa.array(np.add.reduceat(automaton.root[block.gram[0]], begin)),
                 "score": pa.array(np.add.reduceat(automaton.walk(block), begin)),
             }
         )
 
     sent = dealt.groupBy("block").applyInArrow(send, "block int, bucket int, blob binary")
-    counts = sent.groupBy("bucket").applyInArrow(add_up, "block int, bucket int, counts binary")
+    counts = sent.groupBy("bucket").applyInArrow(total, "block int, bucket int, counts binary")
     return dealt.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(walk, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
@@ -240,33 +300,29 @@ def op10(docs: DataFrame) -> DataFrame:
     return score(docs.select("doc_id", "text"))
 
 
-def brute(rows: list[tuple[int, str]]) -> dict[int, tuple]:
+def brute(rows: list[tuple[int, str]], order: int = ORDER, mu: float = MU) -> dict[int, tuple]:
     """doc_id -> (held_out, n_tokens, n_known, N, base_score, score) in plain Python. For tests."""
     import re
     import zlib
-    from collections import Counter, defaultdict
+    from collections import Counter
 
-    cut = {d: [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None] for d, t in rows}
+    cut = {d: ["", *re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None] for d, t in rows}
     held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in cut}
-    c, pair, after = Counter(), Counter(), defaultdict(set)
+    c: Counter = Counter()
     for d, w in cut.items():
         if not held[d]:
-            c.update(w)
-            for u, x in zip(["", *w], w, strict=False):
-                pair[u, x] += 1
-                after[u].add(x)
-    context = Counter()
-    for (u, _), k in pair.items():
-        context[u] += k
-    n, v = sum(c.values()), len(c)
+            c.update(tuple(w[i : i + k]) for k in range(1, order + 1) for i in range(len(w) - k + 1))
+    single = {g[0]: m for g, m in c.items() if len(g) == 1 and g != ("",)}
+    n, v = sum(single.values()), len(single)
     out = {}
     for d, w in cut.items():
         base = total = 0.0
-        for u, x in zip(["", *w], w, strict=False):
-            p = (c[x] + 1) / (n + v + 1)
+        for i in range(1, len(w)):
+            p = (single.get(w[i], 0) + 1) / (n + v + 1)
             base += math.log10(p)
-            t = len(after[u]) if u in after else 0
-            q = (pair[u, x] + t * p) / (context[u] + t) if context[u] else p
-            total += math.log10(q)
-        out[d] = (held[d], len(w), sum(c[x] > 0 for x in w), n, base, total)
+            for k in range(1, min(order, i + 1)):
+                h = tuple(w[i - k : i])
+                p = (c[h + (w[i],)] + mu * p) / (c[h] + mu)
+            total += math.log10(p)
+        out[d] = (held[d], len(w) - 1, sum(x in single for x in w[1:]), n, base, total)
     return out

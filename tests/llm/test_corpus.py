@@ -85,6 +85,32 @@ def test_language_model(docs):
         assert tuple(r)[5:] == pytest.approx(want[r.doc_id][4:])
 
 
+def test_language_model_orders(docs):
+    for order, mu in ((1, 4.0), (2, 0.5), (4, 9.0)):
+        want = lm.brute(PAIRS, order, mu)
+        for r in lm.score(docs, order, mu, 1 << 12).collect():
+            assert (r.n_known, r.base_score, r.score) == pytest.approx((want[r.doc_id][2], *want[r.doc_id][4:]))
+
+
+def test_keys_packed():
+    r = np.random.default_rng(2)
+    for buckets in (1, 3, 1000):
+        low = lm.floors(buckets)
+        assert int(low[0]) == 0 and int(low[-1]) == 1 << lm.BITS
+        room = int(low[1])
+        for n in (1, 2, 77, 5000):
+            x = np.unique(np.append(r.integers(0, room, n, dtype=np.uint64), np.uint64(room - 1)))
+            back, at = lm.unpack_keys(lm.pack_keys(x, room) + b"more", room)
+            assert (back == x).all() and at == len(lm.pack_keys(x, room))
+    for top in (2, 1 << 30, 1 << lm.BITS):
+        x = r.integers(0, top, 3000, dtype=np.uint64)
+        keys, place = lm.distinct(x)
+        assert (keys == np.unique(x)).all() and (keys[place] == x).all()
+    assert len(lm.unpack_keys(lm.pack_keys(np.zeros(0, np.uint64), 9), 9)[0]) == 0
+    dense = np.arange(300, dtype=np.uint64)
+    assert (lm.unpack_keys(lm.pack_keys(dense, 301), 301)[0] == dense).all()
+
+
 def test_pieces(docs):
     out = pieces.decode_table(pieces.encode(docs))
     assert out.where("NOT (decoded_text <=> text) OR NOT _round_trip").count() == 0
