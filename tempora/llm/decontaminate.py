@@ -7,9 +7,12 @@ matched against prefix tokens only; a match fixes the window's place by the
 token's position in it, places that would start before or end after the text
 are dropped, and the rest are compared word by word.
 
-The benchmark is cut into blocks of at most BLOCK bytes; each block's index,
-bounded by that size, is sent to the executors and every text passes through
-one block after another inside one stage. Documents are never shuffled.
+The benchmark is cut into blocks of at most BLOCK bytes (or of one item, if that
+is longer); a block's index, some five times its bytes, is sent to the
+executors, one to count its words in all documents and one to match them. A
+benchmark of one block needs no shuffle. Of a larger one, each further block's
+matches are written before the next block is sent, so that two indexes at most
+are held at a time, and joined to the documents by id and text at the end.
 
 Edge cases: null or empty text has no words and no hits; items without words
 match nothing; items with null id hit words but are not listed; equal items
@@ -20,16 +23,18 @@ time; further columns stay, but those named as the operator's own are replaced.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Words, signed, slices, text_buffer
+from .common import ALNUM, Words, slices, staged, text_buffer
 
 WINDOW = 13
-#: Bytes of item text in one block. An index takes some 60 times as many bytes.
-BLOCK = 1 << 20
+#: Bytes of item text in one block.
+BLOCK = 4 << 20
 
 
 def blocks(benchmark: DataFrame, limit: int):
@@ -46,27 +51,32 @@ def blocks(benchmark: DataFrame, limit: int):
         yield held
 
 
+def same_runs(x: np.ndarray, n: int) -> np.ndarray:
+    """A number for each n consecutive entries, the same for equal ones only: runs are doubled until they have n."""
+    if len(x) < n:
+        return np.zeros(0, np.int64)
+    rank, size = np.unique(x, return_inverse=True)[1], 1
+    while size < n:
+        step = min(size, n - size)
+        rank = np.unique(rank[:-step] * len(x) + rank[step:], return_inverse=True)[1]
+        size += step
+    return rank
+
+
 def item_windows(items: list, window: int):
-    """(tokens padded to window columns, lengths, item numbers), a row for each window of each item."""
-    texts = pa.array([t for _, t in items], pa.large_string())
-    data, offsets = text_buffer(texts)
+    """(words of all items, first words of windows, their lengths, item numbers, numbers of different windows)."""
+    data, offsets = text_buffer(pa.array([t for _, t in items], pa.large_string()))
     words = Words(data, offsets, ALNUM)
-    h, rows, lengths, owners = words.hashes(), [], [], []
-    for d in range(len(items)):
-        own = h[words.first[d] : words.first[d + 1]]
-        if len(own) >= window:
-            part = np.lib.stride_tricks.sliding_window_view(own, window)
-        elif len(own):
-            part = np.zeros((1, window), np.uint64)
-            part[0, : len(own)] = own
-        else:
-            continue
-        rows.append(part)
-        lengths.append(np.full(len(part), min(len(own), window)))
-        owners.append(np.full(len(part), d))
-    if not rows:
-        return np.zeros((0, window), np.uint64), np.zeros(0, int), np.zeros(0, int)
-    return np.concatenate(rows), np.concatenate(lengths), np.concatenate(owners)
+    h, counts = words.hashes(), words.counts
+    owner = words.doc()
+    at = np.flatnonzero(np.arange(len(h)) + window <= words.first[owner + 1])
+    short = np.flatnonzero((counts > 0) & (counts < window))
+    which = same_runs(h, window)[at]
+    named: dict[bytes, int] = {}
+    alone = [named.setdefault(h[words.first[d] : words.first[d + 1]].tobytes(), len(named)) for d in short]
+    begin = np.concatenate([at, words.first[short]]).astype(np.int32)
+    length = np.concatenate([np.full(len(at), window), counts[short]]).astype(np.int32)
+    return h, begin, length, np.concatenate([owner[at], short]).astype(np.int32), np.concatenate([which, np.array(alone, np.int64) + len(h)])
 
 
 def token_counts(docs: DataFrame, vocabulary: np.ndarray) -> dict[int, int]:
@@ -92,24 +102,25 @@ class Index:
     """Windows of one block by their rarest token."""
 
     def __init__(self, items, docs: DataFrame, window: int):
-        tokens, lengths, owners = item_windows(items, window)
+        self.words, begin, length, owners, which = item_windows(items, window)
         self.names = [i for i, _ in items]
-        both = np.column_stack([tokens, lengths.astype(np.uint64)])
-        unique, self.which = np.unique(both, axis=0, return_inverse=True) if len(both) else (both, np.zeros(0, int))
-        self.which = self.which.reshape(-1)
-        self.tokens, self.lengths = unique[:, :window], unique[:, window].astype(np.int64)
-        order = np.argsort(self.which, kind="stable")
-        self.owners, self.owner_first = owners[order], np.searchsorted(self.which[order], np.arange(len(unique) + 1))
-        vocabulary = np.unique(np.concatenate([t[:n] for t, n in zip(self.tokens, self.lengths, strict=True)])) if len(unique) else np.zeros(0, np.uint64)
+        _, one, which = np.unique(which, return_index=True, return_inverse=True)
+        self.begin, self.lengths = begin[one], length[one]
+        order = np.argsort(which, kind="stable")
+        self.owners, self.owner_first = owners[order], np.searchsorted(which[order], np.arange(len(one) + 1))
+        vocabulary, place = np.unique(self.words, return_inverse=True)
         counts = np.zeros(len(vocabulary), np.int64)
         if len(vocabulary):
             for k, n in token_counts(docs, vocabulary).items():
                 counts[k] = n
-        offset = np.zeros(len(unique), np.int64)
-        for w, n in enumerate(self.lengths):
-            offset[w] = np.argmin(counts[np.searchsorted(vocabulary, self.tokens[w, :n])])
-        rarest = self.tokens[np.arange(len(unique)), offset] if len(unique) else np.zeros(0, np.uint64)
-        order = np.argsort(rarest, kind="stable")
+        counts = counts[place]
+        offset = np.zeros(len(one), np.int32)
+        for j in range(1, window):
+            some = np.flatnonzero(self.lengths > j)
+            first = self.begin[some]
+            offset[some[counts[first + j] < counts[first + offset[some]]]] = j
+        rarest = self.words[self.begin + offset]
+        order = np.argsort(rarest, kind="stable").astype(np.int32)
         self.window, self.offset = order, offset[order]
         self.prefix, first = np.unique(rarest[order], return_index=True)
         self.first = np.append(first, len(order))
@@ -133,20 +144,19 @@ class Index:
             window, start = self.window[entry], p - self.offset[entry]
             fits = (start >= low[p]) & (start + self.lengths[window] <= high[p])
             window, start = window[fits], start[fits]
-            for j in range(self.tokens.shape[1]):
+            for j in range(int(self.lengths.max())):
                 if not len(window):
                     break
-                n = self.lengths[window]
-                same = (j >= n) | (h[np.minimum(start + j, len(h) - 1)] == self.tokens[window, j])
+                inside = np.minimum(j, self.lengths[window] - 1)
+                same = h[start + inside] == self.words[self.begin[window] + inside]
                 window, start = window[same], start[same]
             found.append(window)
             begun.append(start)
         return (np.concatenate(found), np.concatenate(begun)) if found else (none, none)
 
 
-def pass_block(docs: DataFrame, index: Index) -> DataFrame:
-    """docs with _hits (first and end word of merged runs) and _items grown by one block's matches."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+def pass_block(docs: DataFrame, shared) -> DataFrame:
+    """docs with _n_words, and with _hits (first and end word of merged runs) and _items grown by one block's matches."""
 
     def run(batches):
         own = shared.value
@@ -188,14 +198,46 @@ def merge(spans: list) -> list[int]:
     return out
 
 
+def further(docs: DataFrame, index: Index) -> DataFrame:
+    """_rank, _hash, _hits and _items of the documents that one block hits, written."""
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+    found = pass_block(docs.select("_rank", "_hash", "_whole", "_hits", "_items", "_n_words"), shared).where(F.size("_hits") > 0)
+    out = staged(found.select("_rank", "_hash", "_hits", "_items").dropDuplicates(["_rank", "_hash"]), "hits")
+    shared.unpersist()
+    return out
+
+
+def united(rows: DataFrame, more: list[DataFrame]) -> DataFrame:
+    """rows with the matches of further blocks; a document has one row a block at most in them."""
+    every = functools.reduce(DataFrame.unionByName, more)
+    lists = every.groupBy("_rank", "_hash").agg(F.collect_list("_hits").alias("_more_hits"), F.collect_list("_items").alias("_more_items"))
+    rows = rows.join(lists, ["_rank", "_hash"], "left")
+
+    def run(batches):
+        for batch in batches:
+            names = batch.schema.names
+            hits, items, more_hits, more_items = (batch.column(names.index(c)).to_pylist() for c in ("_hits", "_items", "_more_hits", "_more_items"))
+            for i, lists in enumerate(more_hits):
+                if lists:
+                    hits[i] = merge([x for flat in (hits[i], *lists) for x in zip(flat[::2], flat[1::2], strict=True)])
+                    items[i] = sorted({x for own in (items[i], *more_items[i]) for x in own})
+            new = {"_hits": pa.array(hits, pa.list_(pa.int32())), "_items": pa.array(items, pa.list_(pa.string()))}
+            yield pa.RecordBatch.from_arrays([new.get(c, batch.column(k)) for k, c in enumerate(names)], names=names)
+
+    return rows.mapInArrow(run, rows.schema).drop("_more_hits", "_more_items")
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """docs with _n_words, _hits, _items, _n_hit and _contaminated."""
     start = {"_whole": F.coalesce("text", F.lit("")), "_hits": F.array().cast("array<int>"), "_items": F.array().cast("array<string>"), "_n_words": F.lit(0).cast("long")}
-    out = docs.withColumns(start)
+    texts = docs.select("text")
     parts = blocks(benchmark, block)
-    out = pass_block(out, Index(next(parts, []), docs, window))  # an empty benchmark is one empty block
-    for items in parts:
-        out = pass_block(out, Index(items, docs, window))
+    index = Index(next(parts, []), texts, window)  # an empty benchmark is one empty block
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+    marked = docs.drop("_rank", "_hash").withColumns(start)
+    keyed = marked.withColumns({"_rank": F.coalesce("doc_id", F.lit(-(2**63))), "_hash": F.xxhash64("_whole")})
+    more = [further(keyed, Index(items, texts, window)) for items in parts]
+    out = united(pass_block(keyed, shared), more).drop("_rank", "_hash") if more else pass_block(marked, shared)
     hit = F.aggregate(F.transform("_hits", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0), lambda a, x: a + x).cast("long")
     out = out.withColumn("_n_hit", hit)
     return out.withColumn("_contaminated", (F.col("_n_hit") > 0) & (F.col("_n_hit") * 20 >= F.col("_n_words"))).drop("_whole")

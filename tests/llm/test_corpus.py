@@ -136,6 +136,24 @@ def test_pieces_searched_together_and_alone():
             assert [x for x, _ in encoder.search(p)] == pytest.approx(sorted(sums[len(p)], reverse=True)[:5])
 
 
+def test_decontaminate_in_blocks(spark, docs):
+    items = spark.createDataFrame([(str(k), " ".join(SHARED[k : k + 3])) for k in range(8)] + [("x", "x"), ("y", "Lorem x"), (None, "zzz")], "item_id string, text string")
+    rows = docs.unionByName(docs.where("doc_id < 3")).unionByName(docs.limit(4).withColumn("doc_id", F.lit(None).cast("long")))
+    order = ["doc_id", "text"]
+    one = sorted(map(str, decontaminate.decontaminate(rows, items).select(*order, "_n_words", "_hits", "_items", "_contaminated").collect()))
+    many = sorted(map(str, decontaminate.decontaminate(rows, items, block=40).select(*order, "_n_words", "_hits", "_items", "_contaminated").collect()))
+    assert one == many and len(one) == rows.count()
+
+
+def test_same_runs():
+    x = np.random.default_rng(3).integers(0, 3, 400)
+    for n in (1, 2, 5, 13):
+        runs = [tuple(x[i : i + n]) for i in range(len(x) - n + 1)]
+        number = decontaminate.same_runs(x, n).tolist()
+        assert len(number) == len(runs) and len(set(number)) == len(set(runs)) == len(set(zip(runs, number, strict=True)))
+    assert len(decontaminate.same_runs(x[:4], 13)) == 0
+
+
 def test_decontaminate(spark, docs):
     items = spark.createDataFrame([(1, " ".join(SHARED[3:6])), (2, "x"), (3, None), (None, "zzz")], "item_id long, text string")
     got = {r.doc_id: r for r in decontaminate.op9(docs, items).collect()}
