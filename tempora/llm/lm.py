@@ -87,15 +87,17 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     packed = keys >> U64(bits - (64 - BITS)) << U64(bits)
     packed |= np.arange(n, dtype=U64)
     packed.sort()
-    order = (packed & U64((1 << bits) - 1)).astype(np.int64)
-    k, top = keys[order], packed >> U64(bits)
+    order = (packed & U64((1 << bits) - 1)).astype(np.int32)
+    k = keys[order]
     for i in np.flatnonzero(k[1:] < k[:-1]).tolist():  # different keys with the same top bits
-        x, y = np.searchsorted(top, top[i]), np.searchsorted(top, top[i], side="right")
+        top = packed[i] >> U64(bits) << U64(bits)
+        x, y = np.searchsorted(packed, top), np.searchsorted(packed, top | U64((1 << bits) - 1), side="right")
         by = np.argsort(k[x:y], kind="stable")
         order[x:y], k[x:y] = order[x:y][by], k[x:y][by]
+    del packed
     fresh = np.append(True, k[1:] != k[:-1])
-    place = np.empty(n, np.int64)
-    place[order] = np.cumsum(fresh) - 1
+    place = np.empty(n, np.int32)
+    place[order] = np.cumsum(fresh, dtype=np.int32) - 1
     return k[fresh], place
 
 
@@ -103,34 +105,44 @@ class Block:
     """A block's texts as tokens, and its distinct n-grams in the order of their keys.
 
     gram[k] holds, for every token, the place of the n-gram of k + 1 tokens that
-    ends there, history[k] that of its first k tokens; -1 where the text (with
-    its start) has fewer.
+    ends there, -1 where the text (with its start) has fewer.
     """
 
     def __init__(self, column: pa.Array, train: np.ndarray, order: int):
         token, self.first = tokens(column)
-        begin = self.first[:-1]
-        counted = np.repeat(train, np.diff(self.first)).astype(np.int64)
-        with np.errstate(over="ignore"):
-            hashes, whole = [mix(token * TIMES[0])], [np.ones(len(token), bool)]
-            for k in range(1, order):
-                before, inside = np.roll(hashes[-1], 1), np.roll(whole[-1], 1)
-                before[begin], inside[begin] = ORIGIN[0], k == 1
-                hashes.append(mix(before * TIMES[k] + token))
-                whole.append(inside)
-        keys = [keyed(h[w], k) for k, (h, w) in enumerate(zip(hashes, whole, strict=True))]
-        self.keys, place = distinct(np.concatenate([*keys, keyed(ORIGIN, 0)]))
-        weights = np.concatenate([*[counted[w] for w in whole], [np.count_nonzero(train)]])
-        self.count = np.bincount(place, weights=weights, minlength=len(self.keys)).astype(np.int64)
-        self.gram, self.history, at = [], [np.full(len(token), -1)], 0
-        for w in whole:
-            own = np.full(len(token), -1)
-            own[w] = place[at : at + np.count_nonzero(w)]
-            at += np.count_nonzero(w)
+        self.begin = self.first[:-1]
+        level, inside = mix(token * TIMES[0]), np.ones(len(token), bool)
+        keys, whole = [keyed(level, 0)], [inside]
+        for k in range(1, order):
+            level, inside = np.roll(level, 1), np.roll(inside, 1)
+            level[self.begin], inside[self.begin] = ORIGIN[0], k == 1
+            with np.errstate(over="ignore"):
+                level = mix(level * TIMES[k] + token)
+            keys.append(keyed(level[inside], k))
+            whole.append(inside)
+        keys.append(keyed(ORIGIN, 0))
+        together = np.concatenate(keys)
+        del token, level, keys
+        self.keys, place = distinct(together)
+        del together
+        self.origin, at = place[-1], 0
+        counted = np.repeat(train, np.diff(self.first))
+        self.count = np.zeros(len(self.keys), np.int64)
+        self.count[self.origin] = np.count_nonzero(train)
+        self.gram = []
+        for inside in whole:
+            own = np.full(len(inside), -1, np.int32)
+            n = np.count_nonzero(inside)
+            own[inside] = place[at : at + n]
+            at += n
+            self.count += np.bincount(own[inside & counted], minlength=len(self.keys))
             self.gram.append(own)
-            before = np.roll(own, 1)
-            before[begin] = place[-1] if len(self.gram) == 1 else -1
-            self.history.append(before)
+
+    def history(self, k: int) -> np.ndarray:
+        """For every token the place of the k tokens before it, the start being one; -1 where there are fewer."""
+        before = np.roll(self.gram[k - 1], 1)
+        before[self.begin] = self.origin if k == 1 else -1
+        return before
 
     def parts(self, buckets: int):
         """(bucket, first key of its range, keys in the range, first n-gram, end n-gram) of every bucket."""
@@ -232,17 +244,19 @@ class Automaton:
         self.root, self.failure, self.seen = np.log10(unit), np.log10(mu / (self.count + mu)), self.count > 0
         chance = unit  # of an n-gram's last token after the others; an n-gram seen has its shorter ones seen
         for k in range(1, len(block.gram)):
+            token = np.full(len(block.keys), -1, np.int32)  # one that ends the n-gram
             some = np.flatnonzero(block.gram[k] >= 0)
-            gram, one = np.unique(block.gram[k][some], return_index=True)
-            one = some[one]
-            chance[gram] = (self.count[gram] + mu * chance[block.gram[k - 1][one]]) / (self.count[block.history[k][one]] + mu)
+            token[block.gram[k][some]] = some
+            gram = np.flatnonzero(token >= 0)
+            token = token[gram]
+            chance[gram] = (self.count[gram] + mu * chance[block.gram[k - 1][token]]) / (self.count[block.history(k)[token]] + mu)
         self.arc = np.log10(chance)
 
     def walk(self, block: Block) -> np.ndarray:
         """Weight of every step, from the state that the token before it leads to."""
         weight, open_ = np.zeros(len(block.gram[0])), np.arange(len(block.gram[0]))
         for k in range(len(block.gram) - 1, 0, -1):
-            state, gram = block.history[k][open_], block.gram[k][open_]
+            state, gram = block.history(k)[open_], block.gram[k][open_]
             real = (state >= 0) & self.seen[state]  # else the state carried is a shorter history
             arc = real & self.seen[gram]
             weight[open_[arc]] += self.arc[gram[arc]]
