@@ -8,7 +8,7 @@ token's position in it, places that would start before or end after the text
 are dropped, and the rest are compared word by word.
 
 The benchmark is cut into blocks of at most BLOCK bytes (or of one item, if that
-is longer); a block's index, some five times its bytes, is sent to the
+is longer); a block's index, some eight times its bytes, is sent to the
 executors, one to count its words in all documents and one to match them. A
 benchmark of one block needs no shuffle. Of a larger one, each further block's
 matches are written before the next block is sent, so that two indexes at most
