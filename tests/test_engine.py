@@ -375,3 +375,21 @@ def test_interpolation_frames_are_linear(spark):
     """No frame runs from a row to the end of its group: such a frame is read anew for every row."""
     plan = catalogue.QUERIES["gapfill_interpolate"](spark, SF)._jdf.queryExecution().toString()
     assert "currentrow$(), unboundedfollowing" not in plan.lower()
+
+
+@pytest.mark.parametrize("name", ["lateral_latest"])
+def test_newest_order_when_tasks_spill(spark, tmp_path, name):
+    """Rows of a sort that spills come in any order of equal keys; orders without a date come last, and customers come twice or without a key."""
+    with duckdb.connect() as db:
+        db.execute(f"COPY (SELECT * FROM '{SF}/customer.parquet' UNION ALL (SELECT * FROM '{SF}/customer.parquet' WHERE c_custkey < 5) UNION ALL (SELECT * REPLACE (NULL AS c_custkey) FROM '{SF}/customer.parquet' LIMIT 1)) TO '{tmp_path}/customer.parquet'")
+        db.execute(f"COPY (SELECT * REPLACE (CASE WHEN o_custkey % 4 > 0 OR o_orderkey % 2 = 0 AND o_custkey % 8 > 0 THEN o_orderdate END AS o_orderdate) FROM '{SF}/orders.parquet') TO '{tmp_path}/orders.parquet'")
+        for t in ("customer", "orders"):
+            db.execute(f"CREATE VIEW {t} AS FROM '{tmp_path}/{t}.parquet'")
+        want = sorted(db.execute(catalogue.ORACLES[name]).fetchall(), key=str)
+    conf, key = spark.sparkContext._jsc.sc().conf(), "spark.shuffle.spill.numElementsForceSpillThreshold"
+    conf.set(key, "50")
+    try:
+        got = sorted((tuple(r) for r in catalogue.QUERIES[name](spark, str(tmp_path)).collect()), key=str)
+    finally:
+        conf.remove(key)
+    assert got == want
