@@ -377,7 +377,7 @@ def test_interpolation_frames_are_linear(spark):
     assert "currentrow$(), unboundedfollowing" not in plan.lower()
 
 
-@pytest.mark.parametrize("name", ["lateral_latest"])
+@pytest.mark.parametrize("name", ["lateral_latest", "left_lateral"])
 def test_newest_order_when_tasks_spill(spark, tmp_path, name):
     """Rows of a sort that spills come in any order of equal keys; orders without a date come last, and customers come twice or without a key."""
     with duckdb.connect() as db:
