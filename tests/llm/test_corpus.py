@@ -136,6 +136,26 @@ def test_pieces_searched_together_and_alone():
             assert [x for x, _ in encoder.search(p)] == pytest.approx(sorted(sums[len(p)], reverse=True)[:5])
 
 
+def test_pieces_table_keeps_what_recurs(monkeypatch):
+    """A full table keeps the chunks that were met again, the latest CACHE / 2 at most, and gives the same segmentations as a new one."""
+    monkeypatch.setattr(pieces, "CACHE", 60)
+    r = random.Random(5)
+    words = ["".join(r.choice("etaoinshé日") for _ in range(r.randint(1, 9))) for _ in range(40)] + ["x" * 60]
+    vocabulary = pieces.Vocabulary()
+    encoder = pieces.Encoder(vocabulary)
+    for k in range(30):
+        texts = [" ".join([*r.sample(words, 12), "common", f"once{k}", "x" * 60]), "", "tail\n\n common"]
+        if len(encoder.ids) > pieces.CACHE:
+            encoder.trim()
+            assert pieces.SPACE + "common" in encoder.index and len(encoder.ids) <= 30
+        rows, fresh = encoder.chunks(texts), pieces.Encoder(vocabulary)
+        for own, other in zip(rows, fresh.chunks(texts), strict=True):
+            assert [encoder.all[i] for i in own] == [fresh.all[i] for i in other]
+            assert [encoder.ids[i] for i in own] == [fresh.ids[i] for i in other] and [encoder.text[i] for i in own] == [fresh.text[i] for i in other]
+            assert own == [] or encoder.nbest(own, encoder.gap[own])[-1][0] == fresh.nbest(other, fresh.gap[other])[-1][0]
+        assert all(encoder.all[i] == encoder.search(p) and encoder.best[i] == encoder.all[i][0][0] for p, i in encoder.index.items())
+
+
 def test_decontaminate_in_blocks(spark, docs):
     items = spark.createDataFrame([(str(k), " ".join(SHARED[k : k + 3])) for k in range(8)] + [("x", "x"), ("y", "Lorem x"), (None, "zzz")], "item_id string, text string")
     rows = docs.unionByName(docs.where("doc_id < 3")).unionByName(docs.limit(4).withColumn("doc_id", F.lit(None).cast("long")))
