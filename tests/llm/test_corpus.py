@@ -2,12 +2,13 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tempora.llm import decontaminate, jaccard, linededup, lm, pieces, pii, quality, secrets, substringdedup, suffixdedup
+from tempora.llm import common, decontaminate, jaccard, linededup, lm, pieces, pii, quality, secrets, substringdedup, suffixdedup
 
 R = random.Random(4)
 WORDS = [f"w{i}" for i in range(60)]
@@ -156,6 +157,25 @@ def test_pieces_table_keeps_what_recurs(monkeypatch):
         assert all(encoder.all[i] == encoder.search(p) and encoder.best[i] == encoder.all[i][0][0] for p, i in encoder.index.items())
 
 
+def test_pieces_table_is_small():
+    """A worker's full table takes at most 150 MB, and what earlier operators left in the worker is gone when it begins."""
+    vocabulary, r = pieces.Vocabulary(), random.Random(6)
+    common.powers(10)
+    pieces._KEPT.clear()
+    encoder = pieces.kept_encoder(vocabulary, pieces.MODEL, pieces.NBEST)
+    assert not common._powers and encoder is pieces.kept_encoder(vocabulary, pieces.MODEL, pieces.NBEST)
+    texts = [" ".join("".join(r.choice("etaoinshrdlu") for _ in range(9)) for _ in range(200)) for _ in range(100)]
+    tracemalloc.start()
+    try:
+        encoder.chunks(texts)
+        used = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+        pieces._KEPT.clear()
+    assert len(encoder.ids) > 19_000
+    assert used / len(encoder.ids) * pieces.CACHE < 150e6
+
+
 def test_decontaminate_in_blocks(spark, docs):
     items = spark.createDataFrame([(str(k), " ".join(SHARED[k : k + 3])) for k in range(8)] + [("x", "x"), ("y", "Lorem x"), (None, "zzz")], "item_id string, text string")
     rows = docs.unionByName(docs.where("doc_id < 3")).unionByName(docs.limit(4).withColumn("doc_id", F.lit(None).cast("long")))
