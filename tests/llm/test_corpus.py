@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tempora.llm import common, decontaminate, jaccard, linededup, lm, pieces, pii, quality, secrets, substringdedup, suffixdedup
 
 R = random.Random(4)
@@ -158,7 +159,7 @@ def test_pieces_table_keeps_what_recurs(monkeypatch):
 
 
 def test_pieces_table_is_small():
-    """A worker's full table takes at most 150 MB, and what earlier operators left in the worker is gone when it begins."""
+    """A worker's full table takes at most 150 MB in the pipeline, and what earlier operators left in the worker is gone when it begins."""
     vocabulary, r = pieces.Vocabulary(), random.Random(6)
     common.powers(10)
     pieces._KEPT.clear()
@@ -173,7 +174,12 @@ def test_pieces_table_is_small():
         tracemalloc.stop()
         pieces._KEPT.clear()
     assert len(encoder.ids) > 19_000
-    assert used / len(encoder.ids) * pieces.CACHE < 150e6
+    assert used / len(encoder.ids) * corpus_pipeline.TABLE < 150e6
+
+
+def test_pieces_with_a_table_that_fills(docs):
+    want, got = ({r.doc_id: (r._ids, r._losses, r._round_trip) for r in pieces.encode(docs, cache=n).collect()} for n in (pieces.CACHE, 20))
+    assert want == got
 
 
 def test_decontaminate_in_blocks(spark, docs):
