@@ -418,3 +418,10 @@ def test_repeated_rows(spark):
     for op in (pii.op1, quality.op2, linededup.op3, substringdedup.op4, jaccard.op5, secrets.op6, pieces.op7, suffixdedup.op8, lm.op10):
         rows = op(twice).where("doc_id = 1").collect()
         assert len(rows) == 2 and rows[0] == rows[1]
+
+
+def test_pieces_without_a_lasting_table(docs):
+    """A table that goes after a task gives the same rows."""
+    mine = docs.coalesce(1)
+    want = {tuple(r) for r in pieces.encode(mine.select("doc_id", "text"), keep_ids=False).selectExpr("doc_id", "_ids_sha256").collect()}
+    assert {tuple(r) for r in pieces.encode(mine.select("doc_id", "text"), keep_ids=False, lasting=False).selectExpr("doc_id", "_ids_sha256").collect()} == want
